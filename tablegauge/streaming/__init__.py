@@ -1,0 +1 @@
+"""Left empty on purpose: none of the operators works on streams."""
