@@ -18,7 +18,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from tablegauge.session import broadcast_if_small
+from tablegauge.session import broadcast_if_small, spread
 
 BLOCK_ROWS = 1024
 
@@ -100,20 +100,28 @@ def group_sizes(df: DataFrame, by: Sequence[str]) -> DataFrame:
     return df.groupBy(*by).agg(F.count(F.lit(1)).alias("_n"))
 
 
+def group_extent(df: DataFrame, by: Sequence[str]) -> tuple[int, int]:
+    """(number of groups, rows of the largest)."""
+    row = group_sizes(df, by).agg(F.count(F.lit(1)), F.max("_n")).first()
+    return row[0], row[1] or 0
+
+
 def scan_pairs(df: DataFrame, kernel: Kernel, schema: str, by: Sequence[str] = (),
                id_col: str = "row_id", features: str = "features", extra: Sequence[str] = (),
-               params: DataFrame | None = None, block_rows: int = BLOCK_ROWS) -> DataFrame:
+               params: DataFrame | None = None, block_rows: int = BLOCK_ROWS,
+               extent: tuple[int, int] | None = None) -> DataFrame:
     """Partial results of ``kernel`` over all unordered block pairs of every group.
 
     ``kernel(left, right, same)`` sees each pair of blocks once; ``same`` marks a block
     paired with itself.  Its columns follow ``schema``; the group columns are added.
+    ``extent`` is :func:`group_extent` if it is known.
     """
     by, extra = list(by), list(extra)
     names = [] if params is None else [c for c in params.columns if c not in by]
     sizes = group_sizes(df, by)
-    largest = sizes.agg(F.max("_n")).first()[0] or 0
+    n_groups, largest = group_extent(df, by) if extent is None else extent
     if largest <= block_rows:
-        one = _packed(df, by, id_col, features, extra, "l").withColumn("same", F.lit(True))
+        one = _packed(spread(df, by, n_groups) if by else df, by, id_col, features, extra, "l").withColumn("same", F.lit(True))
         return _run(attach_params(one, params, by), by, extra, extra, names, kernel, schema, True)
 
     blocks_of = F.ceil(F.col("_n") / block_rows).cast("int")

@@ -11,10 +11,10 @@ from collections.abc import Sequence
 import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
-from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from tablegauge.operators.blocks import distances, group_sizes
+from tablegauge.operators.blocks import distances, group_extent
+from tablegauge.session import spread
 
 #: Most rows of a group that one task clusters; larger groups need the whole-table operators.
 MAX_GROUP_ROWS = 5_000
@@ -201,7 +201,7 @@ def cluster_groups(df: DataFrame, algorithms: Sequence[str] = tuple(ALGORITHMS),
         raise TypeError("n_clusters must be a number, 'n_classes' or a column")
     if n_clusters == "n_classes" and label not in df.columns:
         raise ValueError("the number of classes is unknown without a label")
-    largest = group_sizes(df, by).agg(F.max("_n")).first()[0] or 0
+    n_groups, largest = group_extent(df, by)
     if largest > MAX_GROUP_ROWS:
         raise ValueError(f"a group has {largest} rows, more than the {MAX_GROUP_ROWS} of one task")
     schema = T.StructType([*df.schema.fields, T.StructField("algorithm", T.StringType()),
@@ -219,4 +219,4 @@ def cluster_groups(df: DataFrame, algorithms: Sequence[str] = tuple(ALGORITHMS),
             k = int(pdf[n_clusters].iloc[0]) if isinstance(n_clusters, str) else int(n_clusters)
         return pd.concat([pdf.assign(algorithm=a, cluster=ALGORITHMS[a](x, k, seed)) for a in algorithms])
 
-    return df.groupBy(*by).applyInPandas(run, schema)
+    return spread(df, by, n_groups).groupBy(*by).applyInPandas(run, schema)

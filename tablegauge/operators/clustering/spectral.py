@@ -7,11 +7,13 @@ distances of two blocks and adds up their contributions per row.
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 import numpy as np
 import pandas as pd
 from pyspark.ml.functions import vector_to_array
 from pyspark.ml.stat import Summarizer
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tablegauge.functions.vectors import as_vector
@@ -24,7 +26,8 @@ from tablegauge.session import materialize
 OVERSAMPLE = 6
 
 
-def affinity_product(rows: DataFrame, width: int, gamma: float, block_rows: int = BLOCK_ROWS) -> DataFrame:
+def affinity_product(rows: DataFrame, width: int, gamma: float, block_rows: int = BLOCK_ROWS,
+                     n_rows: int | None = None) -> DataFrame:
     """``(row_id, product)``: affinity (zero diagonal) times the column ``v`` of arrays.
 
     ``width`` is the length of ``features``; ``v`` rides along behind them.
@@ -39,32 +42,42 @@ def affinity_product(rows: DataFrame, width: int, gamma: float, block_rows: int
         return out
 
     packed = rows.select("row_id", F.concat("features", "v").alias("features"))
-    scanned = scan_pairs(packed, kernel, "id bigint, part array<double>", block_rows=block_rows)
+    scanned = scan_pairs(packed, kernel, "id bigint, part array<double>", block_rows=block_rows,
+                         extent=None if n_rows is None else (1, n_rows))
     return scanned.groupBy(F.col("id").alias("row_id")).agg(
         vector_to_array(Summarizer.sum(as_vector("part"))).alias("product"))
 
 
 def _gram(df: DataFrame, left: str, right: str, p: int) -> np.ndarray:
-    """left' right over all rows: p x p sums."""
-    sums = df.agg(*[F.sum(F.col(left)[i] * F.col(right)[j]).alias(f"g{i}_{j}")
-                    for i in range(p) for j in range(p)]).first()
-    return np.array(list(sums)).reshape(p, p)
+    """left' right over all rows: p x p sums, added up per task and then by the vector aggregate."""
+    def partial(batches):
+        total = np.zeros((p, p))
+        for batch in batches:
+            if len(batch):
+                total += np.stack(batch["l"].to_numpy()).T @ np.stack(batch["r"].to_numpy())
+        yield pd.DataFrame({"part": [total.ravel()]})
+
+    parts = df.select(F.col(left).alias("l"), F.col(right).alias("r")).mapInPandas(partial, "part array<double>")
+    return parts.agg(Summarizer.sum(as_vector("part")).alias("s")).first()["s"].toArray().reshape(p, p)
+
 
+def _times(column: str, matrix: np.ndarray) -> Column:
+    """Row array times a small matrix."""
+    @F.pandas_udf("array<double>")
+    def rotate(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
+        for x in batches:
+            yield pd.Series(list(np.stack(x.to_numpy()) @ matrix)) if len(x) else pd.Series([], dtype=object)
 
-def _times(column: str, matrix: np.ndarray):
-    """Row array times a small matrix, as an expression."""
-    rows, cols = matrix.shape
-    return F.array(*[sum((F.col(column)[i] * float(matrix[i, j]) for i in range(1, rows)),
-                         F.col(column)[0] * float(matrix[0, j])) for j in range(cols)])
+    return rotate(column)
 
 
 def spectral_embedding(df: DataFrame, k: int, gamma: float = RBF_GAMMA, seed: int = 42,
                        max_iter: int = 60, tol: float = 1e-5, block_rows: int = BLOCK_ROWS) -> DataFrame:
     """``(row_id, embedding)``: k leading eigenvectors, divided by the root degrees."""
     width = df.select(F.size("features")).first()[0]
-    p = k + OVERSAMPLE
+    p, n_rows = k + OVERSAMPLE, df.count()
     ones = df.select("row_id", "features", F.array(F.lit(1.0)).alias("v"))
-    degree = affinity_product(ones, width, gamma, block_rows)
+    degree = affinity_product(ones, width, gamma, block_rows, n_rows)
     root = F.when(F.col("product")[0] > 0, F.sqrt(F.col("product")[0])).otherwise(1.0)
     rows = materialize(df.select("row_id", "features").join(
         degree.select("row_id", root.alias("root")), "row_id"))
@@ -75,7 +88,7 @@ def spectral_embedding(df: DataFrame, k: int, gamma: float = RBF_GAMMA, seed: in
     before = None
     for _ in range(max_iter):
         scaled = basis.select("row_id", "features", F.transform("q", lambda v: v / F.col("root")).alias("v"))
-        product = affinity_product(scaled, width, gamma, block_rows)
+        product = affinity_product(scaled, width, gamma, block_rows, n_rows)
         moved = basis.join(product, "row_id").withColumn(
             "y", F.transform("product", lambda v: v / F.col("root"))).drop("product")
         moved = materialize(moved)

@@ -9,7 +9,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from tablegauge.operators.blocks import BLOCK_ROWS, Block, distances, group_sizes, scan_pairs
+from tablegauge.operators.blocks import BLOCK_ROWS, Block, distances, group_extent, scan_pairs
 from tablegauge.session import fold, materialize
 
 PAIR_INDICES = ("Silhouette", "C", "Dunn")
@@ -127,10 +127,10 @@ def pair_indices(df: DataFrame, features: str = "features", cluster: str = "clus
     by = list(by)
     rows = df.select(*by, F.col(row_id).alias("row_id"), F.col(features).alias("features"),
                      F.col(cluster).cast("string").alias("cluster"))
-    largest = group_sizes(rows, by).agg(F.max("_n")).first()[0] or 0
-    if largest <= block_rows:
+    extent = group_extent(rows, by)
+    if extent[1] <= block_rows:
         return scan_pairs(rows, _bag_kernel, "Silhouette double, C double, Dunn double", by,
-                          extra=["cluster"], block_rows=block_rows)
+                          extra=["cluster"], block_rows=block_rows, extent=extent)
 
     partial = _scan(rows, by, block_rows)
     return (_silhouette(partial, by).join(_c_index(rows, partial, by, block_rows), by)

@@ -650,13 +650,13 @@ SMALL_GRIDS: dict[str, dict] = {
     "logistic regression": {"cs": [0.1, 10.0]},
     "k-nearest neighbor": {"ks": [3, 7]},
     "xgboost": {"rates": [0.175], "depths": [2], "rounds": 10},
-    "support vector machine": {"cs": [1.0], "n_components": 32, "iterations": 10},
+    "support vector machine": {"cs": [1.0], "n_components": 32, "iterations": 10, "max_tries": 6},
 }
 
 
 def _f1_query(model: str) -> Query:
     def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-        options = {model: {**SMALL_GRIDS[model], "max_tries": 2}}
+        options = {model: {"max_tries": 2, **SMALL_GRIDS[model]}}
         return true_f1.true_f1_scores(fx.document_points(spark, sf_dir), [model], options=options)
     return run
 
@@ -671,12 +671,12 @@ for _key, _name in (("decision_tree", "decision tree"), ("random_forest", "rando
 ONE_POINT = {"decision tree": {"depths": [4]}, "random forest": {"depths": [4], "trees": [5]},
              "logistic regression": {"cs": [1.0]}, "k-nearest neighbor": {"ks": [5]},
              "xgboost": {"rates": [0.3], "depths": [2], "rounds": 3},
-             "support vector machine": {"cs": [1.0], "n_components": 16, "iterations": 5}}
+             "support vector machine": {"cs": [1.0], "n_components": 16, "iterations": 5, "max_tries": 6}}
 
 
 @query("f1_all")
 def f1_all(spark: SparkSession, sf_dir: str) -> DataFrame:
-    options = {m: {**o, "max_tries": 1} for m, o in ONE_POINT.items()}
+    options = {m: {"max_tries": 1, **o} for m, o in ONE_POINT.items()}
     return true_f1.true_f1_scores(fx.document_points(spark, sf_dir), options=options)
 
 
@@ -691,7 +691,7 @@ def _meta(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, scoring.MetaMode
         for segment in ("BUILDING", "MACHINERY"):
             rows = materialize(fx.customers(spark, sf_dir, segment))
             vectors = metafeatures(sampling.sample_table(rows)).withColumn("task", F.lit(segment))
-            options = {m: {**o, "max_tries": 1} for m, o in ONE_POINT.items()}
+            options = {m: {"max_tries": 1, **o} for m, o in ONE_POINT.items()}
             truth = true_f1.true_f1_scores(rows, options=options).withColumn("task", F.lit(segment))
             features = vectors if features is None else features.unionByName(vectors)
             truths = truth if truths is None else truths.unionByName(truth)

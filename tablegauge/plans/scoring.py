@@ -74,13 +74,14 @@ def train_meta_models(table: DataFrame, trees: int = 50, depth: int = 8, seed: i
     filled = [f"{c}_filled" for c in used]
     preparation = Pipeline(stages=[Imputer(inputCols=used, outputCols=filled),
                                    VectorAssembler(inputCols=filled, outputCol="_vector")]).fit(table)
-    rows = materialize(preparation.transform(table).select("_vector", "easy", *MODEL_COLUMNS.values()))
+    rows = materialize(preparation.transform(table).select(
+        "_vector", "easy", *[F.col(c).alias(f"true_{c}") for c in MODEL_COLUMNS.values()]))
     regressors = {}
     for model, column in MODEL_COLUMNS.items():
         if seen[column]:
             regressors[model] = RandomForestRegressor(
-                featuresCol="_vector", labelCol=column, predictionCol=column, numTrees=trees,
-                maxDepth=depth, seed=seed).fit(rows.where(F.col(column).isNotNull()))
+                featuresCol="_vector", labelCol=f"true_{column}", predictionCol=column, numTrees=trees,
+                maxDepth=depth, seed=seed).fit(rows.where(F.col(f"true_{column}").isNotNull()))
     classifier = None
     if seen["lo"] != seen["hi"]:
         classifier = RandomForestClassifier(

@@ -6,6 +6,7 @@ class is not learned, the rows are split again.
 
 from __future__ import annotations
 
+import math
 import warnings
 from collections.abc import Callable, Iterator, Sequence
 from typing import NamedTuple
@@ -41,6 +42,9 @@ KNN_K = (3, 5, 7, 9)
 BOOST_RATES = (0.05, 0.175, 0.3)
 BOOST_DEPTHS = (1, 2, 4, 8, 16, 30)
 DEPTH_SHARES = (1.0, 0.75, 0.5, 0.25)
+POLY_DEGREES = (2, 3, 4, 5)
+#: Terms a polynomial expansion may have.
+MAX_POLY_TERMS = 5_000
 
 
 class UnableToLearnBothClassesError(Exception):
@@ -239,16 +243,18 @@ def support_vector_f1(df: DataFrame, seed: int = 42, cs: Sequence[float] = SVM_C
 
         train = materialize(prepared(split.train))
         weighted = split._replace(train=train)
+        regs = [1.0 / (c * split.n_train) for c in cs]
         svm = LinearSVC(featuresCol="fourier", labelCol="label", weightCol="weight", maxIter=iterations,
                         standardization=False)
-        grid = ParamGridBuilder().addGrid(svm.regParam, [1.0 / (c * split.n_train) for c in cs]).build()
+        grid = ParamGridBuilder().addGrid(svm.regParam, regs).build()
         estimators = [(svm, grid)]
-        if i >= 12 and width <= 20:
-            for degree in (2, 3):
+        if i >= 12:
+            for degree in POLY_DEGREES:
+                if math.comb(width + degree, degree) > MAX_POLY_TERMS:
+                    break
                 expansion = PolynomialExpansion(inputCol="vector", outputCol="poly", degree=degree)
                 poly = LinearSVC(featuresCol="poly", labelCol="label", weightCol="weight", maxIter=iterations)
-                estimators.append((Pipeline(stages=[expansion, poly]), ParamGridBuilder().addGrid(
-                    poly.regParam, [1.0 / (c * split.n_train) for c in cs]).build()))
+                estimators.append((Pipeline(stages=[expansion, poly]), ParamGridBuilder().addGrid(poly.regParam, regs).build()))
         models = [search(e, g, weighted) for e, g in estimators]
         scored = [(WeightedF1Evaluator().evaluate(m.transform(train)), n) for n, m in enumerate(models)]
         return models[max(scored)[1] if len(models) > 1 else 0].transform(prepared(split.test))

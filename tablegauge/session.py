@@ -50,6 +50,18 @@ def broadcast_if_small(df: DataFrame, cells_per_row: int = 1,
     return df
 
 
+def spread(df: DataFrame, keys: list[str], n_groups: int, groups_per_task: int = 2000) -> DataFrame:
+    """Hash-partition by ``keys`` for work that costs much per group and little per byte.
+
+    Adaptive execution would merge such partitions because they are small; an explicit
+    number is kept.  A later grouping by ``keys`` needs no further shuffle.
+    """
+    spark = df.sparkSession
+    wanted = max(4 * spark.sparkContext.defaultParallelism, int(spark.conf.get("spark.sql.shuffle.partitions")),
+                 -(-n_groups // groups_per_task))
+    return df.repartition(max(1, min(n_groups, wanted)), *keys)
+
+
 def fold(single_rows: list[DataFrame]) -> DataFrame:
     """Put one-row results side by side without a join."""
     names = list(dict.fromkeys(c for df in single_rows for c in df.columns))
