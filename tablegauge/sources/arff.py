@@ -51,7 +51,7 @@ def read_arff_columns(spark: SparkSession, path: str) -> tuple[DataFrame, list[t
     for i, (name, kind) in enumerate(attributes):
         raw = F.col(f"r.a{i}")
         value = F.when(raw != "?", raw)
-        columns.append((value.cast("double") if kind == "numeric" else value).alias(name))
+        columns.append((value.try_cast("double") if kind == "numeric" else value).alias(name))
     return parsed.select(*columns), attributes
 
 

@@ -67,7 +67,7 @@ def infer_numeric(df: DataFrame, columns: Sequence[str] | None = None) -> DataFr
     """Cast to DOUBLE the STRING columns whose non-null values are all numbers (one pass)."""
     columns = list(columns if columns is not None else df.columns)
     bad = df.agg(*[F.count_if(F.col(c).isNotNull() & ~is_number(c)).alias(c) for c in columns]).first()
-    return df.withColumns({c: F.trim(c).cast("double") for c in columns if bad[c] == 0})
+    return df.withColumns({c: F.trim(c).try_cast("double") for c in columns if bad[c] == 0})
 
 
 def read_csv(spark: SparkSession, path: str, sep: str = ",",
