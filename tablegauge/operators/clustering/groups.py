@@ -11,6 +11,7 @@ from collections.abc import Sequence
 import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from tablegauge.operators.blocks import distances, group_extent
@@ -187,7 +188,7 @@ def cluster_groups(df: DataFrame, algorithms: Sequence[str] = tuple(ALGORITHMS),
                    n_clusters: int | str = "n_classes", by: Sequence[str] = ("bag_id",),
                    features: str = "features", label: str = "label", standardize: bool = True,
                    seed: int = 42) -> DataFrame:
-    """Cluster every ``by`` group: the columns of ``df`` plus ``algorithm`` and ``cluster``.
+    """Cluster every ``by`` group: the columns of ``df`` plus one column per algorithm.
 
     ``n_clusters`` is a number, ``'n_classes'`` (distinct labels of the group) or the name
     of a column.  Features come back standardised within the group.  Groups beyond
@@ -204,8 +205,7 @@ def cluster_groups(df: DataFrame, algorithms: Sequence[str] = tuple(ALGORITHMS),
     n_groups, largest = group_extent(df, by)
     if largest > MAX_GROUP_ROWS:
         raise ValueError(f"a group has {largest} rows, more than the {MAX_GROUP_ROWS} of one task")
-    schema = T.StructType([*df.schema.fields, T.StructField("algorithm", T.StringType()),
-                           T.StructField("cluster", T.IntegerType())])
+    schema = T.StructType([*df.schema.fields, *[T.StructField(a, T.IntegerType()) for a in algorithms]])
 
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
         pdf = pdf.reset_index(drop=True)
@@ -217,6 +217,12 @@ def cluster_groups(df: DataFrame, algorithms: Sequence[str] = tuple(ALGORITHMS),
             k = int(pdf[label].nunique())
         else:
             k = int(pdf[n_clusters].iloc[0]) if isinstance(n_clusters, str) else int(n_clusters)
-        return pd.concat([pdf.assign(algorithm=a, cluster=ALGORITHMS[a](x, k, seed)) for a in algorithms])
+        return pdf.assign(**{a: ALGORITHMS[a](x, k, seed) for a in algorithms})
 
     return spread(df, by, n_groups).groupBy(*by).applyInPandas(run, schema)
+
+
+def long_clusters(df: DataFrame, algorithms: Sequence[str], columns: Sequence[str]) -> DataFrame:
+    """One row per algorithm: ``columns``, ``algorithm`` and ``cluster``; a projection, no shuffle."""
+    pairs = F.array(*[F.struct(F.lit(a).alias("algorithm"), F.col(a).alias("cluster")) for a in algorithms])
+    return df.select(*columns, F.inline(pairs))

@@ -29,7 +29,8 @@ def kmeans(df: DataFrame, k: int | None, features: str = "features", row_id: str
     """``df`` with a ``cluster`` column; with ``by``, every (small) group is clustered alone."""
     if by:
         wanted = n_clusters_col or k
-        return cluster_groups(df, ["kmeans"], wanted, by, features, standardize=False, seed=seed).drop("algorithm")
+        return cluster_groups(df, ["kmeans"], wanted, by, features, standardize=False,
+                              seed=seed).withColumnRenamed("kmeans", "cluster")
     model = fit_kmeans(df, k, features, seed, n_init)
     model.setFeaturesCol("_vector").setPredictionCol("cluster")
     return model.transform(df.withColumn("_vector", as_vector(features))).drop("_vector")

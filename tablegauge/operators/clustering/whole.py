@@ -19,7 +19,7 @@ from tablegauge.session import materialize
 def cluster_table(df: DataFrame, n_clusters: int | str = "n_classes",
                   algorithms: Sequence[str] = tuple(ALGORITHMS), label: str = "label",
                   standardize: bool = True, seed: int = 42) -> DataFrame:
-    """``(row_id, features, label, algorithm, cluster)`` with standardised features."""
+    """``df`` with standardised features and one cluster column per algorithm."""
     if isinstance(n_clusters, str) and n_clusters != "n_classes":
         raise TypeError("n_clusters must be a number or 'n_classes'")
     if n_clusters == "n_classes" and label not in df.columns:
@@ -28,9 +28,8 @@ def cluster_table(df: DataFrame, n_clusters: int | str = "n_classes",
     rows = materialize(standardize_array(df) if standardize else df)
     runs = {"kmeans": lambda: kmeans(rows, k, seed=seed), "hierarchical": lambda: ward(rows, k),
             "spectral": lambda: spectral(rows, k, seed=seed), "hdbscan": lambda: hdbscan(rows)}
-    parts = [runs[a]().select(*rows.columns, F.lit(a).alias("algorithm"), F.col("cluster").cast("int").alias("cluster"))
-             for a in algorithms]
-    result = parts[0]
-    for part in parts[1:]:
-        result = result.unionByName(part)
+    result = rows
+    for a in algorithms:
+        labels = materialize(runs[a]().select("row_id", F.col("cluster").cast("int").alias(a)))
+        result = result.join(labels, "row_id")
     return result

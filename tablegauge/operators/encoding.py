@@ -11,7 +11,7 @@ from pyspark.sql import types as T
 
 from tablegauge.functions.numbers import nominal_limit, nominal_limit_column
 from tablegauge.operators.ranking import global_rank
-from tablegauge.session import broadcast_if_small
+from tablegauge.session import broadcast_if_small, materialize
 from tablegauge.table import Table
 
 #: Distinct values of one column that a single task may rank.
@@ -57,29 +57,40 @@ def infer_nominal(df: DataFrame, columns: Sequence[str]) -> tuple[list[str], lis
     return nominal, [c for c in names if c not in nominal]
 
 
-def category_codes(df: DataFrame, column: str) -> DataFrame:
-    """``(column, category, code)``: the code is the rank among the sorted distinct values."""
-    values = df.where(F.col(column).isNotNull()).select(F.col(column).alias("value")).distinct()
-    if values.limit(WINDOW_CODES + 1).count() > WINDOW_CODES:
-        ranked = global_rank(values, ["value"], "code")
-    else:
-        ranked = values.withColumn(
-            "code", (F.row_number().over(Window.orderBy("value")) - 1).cast("bigint"))
-    return ranked.select(F.lit(column).alias("column"), "value",
-                         F.col("value").cast("string").alias("category"), "code")
+def distinct_values(df: DataFrame, columns: Sequence[str]) -> DataFrame:
+    """``(column, category)``: the distinct values of all ``columns`` as text, from one pass."""
+    long = (df.select(*[F.col(c).cast("string").alias(c) for c in columns])
+            .unpivot([], list(columns), "column", "category"))
+    return materialize(long.where("category is not null").distinct())
+
+
+def category_codes(values: DataFrame, column: str, dtype: T.DataType) -> DataFrame:
+    """``(column, value, category, code)``: the code is the rank among the sorted values.
+
+    ``values`` comes from :func:`distinct_values`; numbers rank as numbers.
+    """
+    own = values.where(F.col("column") == column).withColumn("value", F.col("category").cast(dtype))
+    if own.limit(WINDOW_CODES + 1).count() > WINDOW_CODES:
+        return global_rank(own, ["value"], "code")
+    return own.withColumn("code", (F.row_number().over(Window.orderBy("value")) - 1).cast("bigint"))
 
 
 def label_encode(df: DataFrame, columns: Sequence[str]) -> tuple[DataFrame, DataFrame | None]:
     """Replace ``columns`` by their codes; also return ``(column, category, code)``.
 
-    Unknown names are skipped with a warning.  Numbers rank as numbers.
+    Unknown names are skipped with a warning.
     """
-    dimension = None
+    known = []
     for name in columns:
-        if name not in df.columns:
+        if name in df.columns:
+            known.append(name)
+        else:
             warnings.warn(f"column {name!r} is unknown and was skipped", stacklevel=2)
-            continue
-        codes = category_codes(df, name)
+    if not known:
+        return df, None
+    values, dimension = distinct_values(df, known), None
+    for name in known:
+        codes = category_codes(values, name, df.schema[name].dataType)
         order = df.columns
         lookup = codes.select(F.col("value").alias("_v"), F.col("code").alias("_c"))
         df = (df.join(broadcast_if_small(lookup, 2), df[name] == F.col("_v"), "left")

@@ -7,9 +7,10 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tablegauge.operators.clustering.groups import ALGORITHMS, cluster_groups
+from tablegauge.operators.clustering.groups import ALGORITHMS, cluster_groups, long_clusters
 from tablegauge.operators.external import external_indices
 from tablegauge.operators.internal import internal_indices
+from tablegauge.operators.pairs import PAIR_INDICES, pair_indices
 from tablegauge.session import materialize
 
 # The indices that enter the vector, in its order.
@@ -41,25 +42,29 @@ def feature_name(algorithm: str, kind: str, name: str) -> str:
 FEATURE_NAMES = [feature_name(*triple) for triple in FEATURE_ORDER]
 
 
-def cluster_indices(df: DataFrame, by: Sequence[str] = ("bag_id",), label: str = "label",
-                    features: str = "features", row_id: str = "row_id",
-                    noise: object = -1) -> DataFrame:
+def cluster_indices(df: DataFrame, algorithms: Sequence[str] = tuple(ALGORITHMS),
+                    by: Sequence[str] = ("bag_id",), label: str = "label", features: str = "features",
+                    row_id: str = "row_id", noise: object = -1) -> DataFrame:
     """Long table ``(by..., algorithm, index_type, index_name, value)`` of clustered rows.
 
-    ``df`` has the columns ``algorithm`` and ``cluster`` of
-    :func:`~tablegauge.operators.clustering.cluster_groups`.
+    ``df`` has one cluster column per algorithm, as
+    :func:`~tablegauge.operators.clustering.cluster_groups` returns them.  The contingency
+    tables need no features, the pair indices share one set of distances, and the moments
+    are combined before their shuffle.
     """
-    by = list(by)
+    by, algorithms = list(by), list(algorithms)
     keys = [*by, "algorithm"]
-    external = external_indices(df, label, "cluster", EXTERNAL_NAMES, keys, noise)
-    shapes = {}
-    for algorithm, names in INTERNAL_NAMES.items():
-        shapes.setdefault(names, []).append(algorithm)
-    everything = list(dict.fromkeys(n for names in INTERNAL_NAMES.values() for n in names))
-    internal = internal_indices(df, features, "cluster", everything, keys, row_id)
+    external = external_indices(long_clusters(df, algorithms, [*by, label]), label, "cluster",
+                                EXTERNAL_NAMES, keys, noise)
+    names = list(dict.fromkeys(n for a in algorithms for n in INTERNAL_NAMES[a]))
+    pairs = pair_indices(df, features, algorithms, by, row_id).unpivot(
+        keys, [n for n in PAIR_INDICES if n in names], "index_name", "value")
+    rest = [n for n in names if n not in PAIR_INDICES]
+    internal = pairs.unionByName(internal_indices(
+        long_clusters(df, algorithms, [*by, row_id, features]), features, "cluster", rest, keys, row_id))
     chosen = F.lit(False)
-    for names, algorithms in shapes.items():
-        chosen = chosen | (F.col("algorithm").isin(algorithms) & F.col("index_name").isin(list(names)))
+    for algorithm in algorithms:
+        chosen = chosen | ((F.col("algorithm") == algorithm) & F.col("index_name").isin(list(INTERNAL_NAMES[algorithm])))
     columns = [*keys, "index_type", "index_name", "value"]
     return (internal.where(chosen).withColumn("index_type", F.lit("internal_indices")).select(*columns)
             .unionByName(external.withColumn("index_type", F.lit("external_indices")).select(*columns)))
@@ -68,10 +73,14 @@ def cluster_indices(df: DataFrame, by: Sequence[str] = ("bag_id",), label: str =
 def generate_indices(bags: DataFrame, algorithms: Sequence[str] = tuple(ALGORITHMS),
                      by: Sequence[str] = ("bag_id",), label: str = "label",
                      features: str = "features", row_id: str = "row_id", seed: int = 42) -> DataFrame:
-    """Cluster every bag with the named algorithms and compute their indices (long table)."""
+    """Cluster every bag with the named algorithms and compute their indices (long table).
+
+    The clustered rows are written once: whole bags per file, so later groupings by bag
+    combine almost everything before they shuffle.
+    """
     kept = bags.select(*by, row_id, features, label)
     clustered = materialize(cluster_groups(kept, algorithms, "n_classes", by, features, label, seed=seed))
-    return cluster_indices(clustered, by, label, features, row_id)
+    return cluster_indices(clustered, algorithms, by, label, features, row_id)
 
 
 def pivot_features(indices: DataFrame, by: Sequence[str] = ("bag_id",)) -> DataFrame:

@@ -89,53 +89,69 @@ def _split_kernel(left: Block, right: Block, same: bool) -> pd.DataFrame:
     return pd.concat(found) if found else pd.DataFrame(columns=COLUMNS)
 
 
-def _bag_kernel(left: Block, right: Block, same: bool) -> pd.DataFrame:
-    """All three indices of a group that is one block."""
-    d, pairs, together = _pair_values(left, right, same)
-    names, code = np.unique(left.extra["cluster"].astype(str), return_inverse=True)
-    size = np.bincount(code)
+def _bag_values(d: np.ndarray, pairs: np.ndarray, ordered: np.ndarray, cluster: np.ndarray) -> tuple:
+    """(Silhouette, C, Dunn) of one clustering of a group that is one block."""
+    names, code = np.unique(cluster.astype(str), return_inverse=True)
+    size, row = np.bincount(code), np.arange(len(code))
     member = np.zeros((len(code), len(names)))
-    member[np.arange(len(code)), code] = 1.0
+    member[row, code] = 1.0
     sums = d @ member
-    row = np.arange(len(code))
     a = sums[row, code] / np.maximum(size[code] - 1, 1)
     means = sums / size
     means[row, code] = np.inf
     b = means.min(1)
     top = np.maximum(a, b)
     s = np.where((size[code] > 1) & (top > 0) & np.isfinite(b), (b - a) / np.where(top > 0, top, 1), 0.0)
-    k = int(together.sum())
-    ordered = np.sort(pairs)
-    least, most = ordered[:k].sum(), ordered[len(ordered) - k:].sum()
+    together = (code[:, None] == code[None, :])[np.triu_indices(len(code), 1)]
     within, apart = pairs[together], pairs[~together]
-    several = len(names) > 1
+    k, several = len(within), len(names) > 1
+    least, most = ordered[:k].sum(), ordered[len(ordered) - k:].sum()
     diameter = within.max() if k else 0.0
-    return pd.DataFrame({
-        "Silhouette": [s.mean() if several else None],
-        "C": [(within.sum() - least) / (most - least) if most > least else None],
-        "Dunn": [0.0 if diameter <= 0 else (apart.min() / diameter if several else None)]}, dtype=float)
+    return (s.mean() if several else None,
+            (within.sum() - least) / (most - least) if most > least else None,
+            0.0 if diameter <= 0 else (apart.min() / diameter if several else None))
 
 
-def pair_indices(df: DataFrame, features: str = "features", cluster: str = "cluster",
+def _bag_kernel(left: Block, right: Block, same: bool) -> pd.DataFrame:
+    """The indices of all clusterings of a group: its distances are computed and sorted once."""
+    d = distances(left.x, left.x)
+    pairs = d[np.triu_indices(len(left.ids), 1)]
+    ordered = np.sort(pairs)
+    found = {name: _bag_values(d, pairs, ordered, cluster) for name, cluster in left.extra.items()}
+    out = pd.DataFrame(list(found.values()), columns=list(PAIR_INDICES), dtype=float)
+    out.insert(0, "algorithm", list(found))
+    return out
+
+
+def pair_indices(df: DataFrame, features: str = "features", cluster: str | Sequence[str] = "cluster",
                  by: Sequence[str] = (), row_id: str = "row_id",
                  block_rows: int = BLOCK_ROWS) -> DataFrame:
     """``(by..., Silhouette, C, Dunn)``, exact, with plain Euclidean distances.
 
     A row alone in its cluster scores 0 in the silhouette.  Groups that fit in one block
-    are finished inside one task; larger ones go through the block scan.
+    are finished inside one task; larger ones go through the block scan.  Several cluster
+    columns share their distances and come back as rows with an ``algorithm`` column.
     """
-    by = list(by)
+    by, columns = list(by), [cluster] if isinstance(cluster, str) else list(cluster)
     rows = df.select(*by, F.col(row_id).alias("row_id"), F.col(features).alias("features"),
-                     F.col(cluster).cast("string").alias("cluster"))
+                     *[F.col(c).cast("string").alias(c) for c in columns])
     extent = group_extent(rows, by)
     if extent[1] <= block_rows:
-        return scan_pairs(rows, _bag_kernel, "Silhouette double, C double, Dunn double", by,
-                          extra=["cluster"], block_rows=block_rows, extent=extent)
-
+        found = scan_pairs(rows, _bag_kernel, "algorithm string, Silhouette double, C double, Dunn double", by,
+                           extra=columns, block_rows=block_rows, extent=extent)
+        return found.drop("algorithm") if isinstance(cluster, str) else found
+    parts = [_scanned_indices(rows.withColumnRenamed(c, "cluster").select(*by, "row_id", "features", "cluster"),
+                              by, block_rows).withColumn("algorithm", F.lit(c)) for c in columns]
+    result = parts[0]
+    for part in parts[1:]:
+        result = result.unionByName(part)
+    return result.drop("algorithm") if isinstance(cluster, str) else result
+
+
+def _scanned_indices(rows: DataFrame, by: list[str], block_rows: int) -> DataFrame:
     partial = _scan(rows, by, block_rows)
-    return (_silhouette(partial, by).join(_c_index(rows, partial, by, block_rows), by)
-            .join(_dunn(partial, by), by) if by else
-            fold([_silhouette(partial, by), _c_index(rows, partial, by, block_rows), _dunn(partial, by)]))
+    parts = [_silhouette(partial, by), _c_index(rows, partial, by, block_rows), _dunn(partial, by)]
+    return parts[0].join(parts[1], by).join(parts[2], by) if by else fold(parts)
 
 
 def _scan(rows: DataFrame, by: list[str], block_rows: int) -> DataFrame:

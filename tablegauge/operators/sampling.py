@@ -126,7 +126,8 @@ def draw_bags(df: DataFrame, n_bags: int, sample_size: int | float, label: str =
     draws = draw_positions(spark, quotas, n_bags, seed, df.schema[label].dataType.simpleString())
     if label != "label":
         draws = draws.withColumnRenamed("label", label)
-    return draws.join(ranked, [label, "pos"]).drop("pos").select("bag_id", *df.columns)
+    # The optimizer cannot see how many rows the draws unfold to, so a broadcast is ruled out.
+    return draws.hint("merge").join(ranked, [label, "pos"]).drop("pos").select("bag_id", *df.columns)
 
 
 def sample_table(df: DataFrame, oneshot: bool = False, label: str = "label",

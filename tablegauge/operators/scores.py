@@ -34,11 +34,14 @@ def weighted_f1(df: DataFrame, label: str = "label", prediction: str = "predicti
     """
     by = list(by)
     cells = prediction_counts(df, label, prediction, by)
-    true = cells.groupBy(*by, F.col("label").alias("c")).agg(
-        F.sum("n").alias("n_true"), F.sum(F.when(F.col("label") == F.col("prediction"), F.col("n")).otherwise(0)).alias("hit"))
-    guessed = cells.groupBy(*by, F.col("prediction").alias("c")).agg(F.sum("n").alias("n_pred"))
-    per_class = (true.unionByName(guessed, allowMissingColumns=True).groupBy(*by, "c")
-                 .agg(*[F.coalesce(F.sum(x), F.lit(0)).cast("double").alias(x) for x in ("n_true", "hit", "n_pred")])
+    hit = F.when(F.col("label") == F.col("prediction"), F.col("n")).otherwise(0)
+    zero = F.lit(0).cast("bigint")
+    # Every cell counts for its true class and for its predicted one.
+    sides = F.array(
+        F.struct(F.col("label").alias("c"), F.col("n").alias("n_true"), hit.alias("hit"), zero.alias("n_pred")),
+        F.struct(F.col("prediction").alias("c"), zero.alias("n_true"), zero.alias("hit"), F.col("n").alias("n_pred")))
+    per_class = (cells.select(*by, F.inline(sides)).groupBy(*by, "c")
+                 .agg(*[F.sum(x).cast("double").alias(x) for x in ("n_true", "hit", "n_pred")])
                  .where("n_true > 0"))
     item = F.struct((-F.col("n_true")).alias("neg"), "c", "n_true", "hit", "n_pred")
     ends = per_class.groupBy(*by).agg(F.min(item).alias("big"), F.max(item).alias("small"),

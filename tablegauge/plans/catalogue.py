@@ -11,7 +11,7 @@ from tablegauge.functions.numbers import nominal_limit_column
 from tablegauge.functions.vectors import euclidean_distance
 from tablegauge.operators import classes, cleaning, contingency, encoding, moments, pairs, sampling, scaling, scores
 from tablegauge.operators.blocks import scan_pairs
-from tablegauge.operators.clustering import assign_nearest, cluster_groups
+from tablegauge.operators.clustering import ALGORITHMS, assign_nearest, cluster_groups, long_clusters
 from tablegauge.operators.clustering.fixed import class_centroids
 from tablegauge.operators.clustering.hdbscan import hdbscan
 from tablegauge.operators.clustering.kmeans import cluster_summary, kmeans
@@ -490,7 +490,7 @@ def cluster_hdbscan(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query("cluster_bags")
 def cluster_bags(spark: SparkSession, sf_dir: str) -> DataFrame:
-    clustered = cluster_groups(_bags(spark, sf_dir))
+    clustered = long_clusters(cluster_groups(_bags(spark, sf_dir)), list(ALGORITHMS), ["bag_id"])
     return clustered.groupBy("bag_id", "algorithm", "cluster").agg(F.count(F.lit(1)).alias("n"))
 
 

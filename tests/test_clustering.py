@@ -2,7 +2,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from tablegauge.operators.clustering import assign_nearest, cluster_groups, kmeans
+from tablegauge.operators.clustering import assign_nearest, cluster_groups, kmeans, long_clusters
 from tablegauge.operators.clustering import fixed
 from tablegauge.operators.clustering.groups import (
     ALGORITHMS, distances, hdbscan_labels, reachability_tree, spectral_labels, ward_labels)
@@ -86,8 +86,9 @@ def test_kmeans_and_groups(spark, blobs):
     assert same_partition(labels_of(kmeans(rows, 3)), np.repeat([0, 1, 2], 40))
     two = rows.withColumn("label", (F.col("row_id") >= 40).cast("int")).withColumn("bag_id", F.lit(1))
     two = two.unionByName(two.withColumn("bag_id", F.lit(2)))
-    clustered = cluster_groups(two)
-    assert clustered.count() == 4 * 240
+    wide = cluster_groups(two)
+    assert wide.count() == 240
+    clustered = long_clusters(wide, list(ALGORITHMS), ["bag_id", "features"])
     sizes = clustered.where("algorithm = 'hierarchical'").groupBy("bag_id", "cluster").count().collect()
     assert sorted((r["bag_id"], r["count"]) for r in sizes) == [(1, 40), (1, 80), (2, 40), (2, 80)]
     spread = clustered.where("bag_id = 1 AND algorithm = 'kmeans'").agg(F.stddev_pop(F.col("features")[0])).first()[0]

@@ -35,9 +35,15 @@ def test_codes_rank_values(spark):
 
 def test_codes_of_many_values_agree(spark, monkeypatch):
     df = spark.range(500).select((F.col("id") * 7919 % 503).alias("v"))
-    small = {r["value"]: r["code"] for r in encoding.category_codes(df, "v").collect()}
+    values = encoding.distinct_values(df, ["v"])
+
+    def codes():
+        rows = encoding.category_codes(values, "v", df.schema["v"].dataType).collect()
+        return {r["value"]: r["code"] for r in rows}
+
+    small = codes()
     monkeypatch.setattr(encoding, "WINDOW_CODES", 10)
-    assert {r["value"]: r["code"] for r in encoding.category_codes(df, "v").collect()} == small
+    assert codes() == small and small[502] == max(small.values())
 
 
 def test_infer_nominal(spark):
