@@ -607,7 +607,7 @@ def sink_metainfo(spark: SparkSession, sf_dir: str) -> DataFrame:
     info = results.run_metainfo(spark, f"{sf_dir}/customer.parquet", "parquet", {"label": "c_mktsegment"},
                                 "run-1", oneshot=False, n_rows=n)
     results.write_metainfo(info, path)
-    return spark.read.json(path)
+    return spark.read.json(path).select("run_id", "dataset_filetype", "dataset_config", "oneshot", "n_rows")
 
 
 @query("sink_result_text")

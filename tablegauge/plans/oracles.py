@@ -375,6 +375,9 @@ ORACLES["sink_results"] = f"""
 SELECT 'CLASSIFICATION COMPLEXITY' AS section, 'is hard to classify' AS name,
        CASE WHEN avg(is_hard::INT) >= 0.5 THEN 'True' ELSE 'False' END AS text, NULL::DOUBLE AS number FROM ({_HARD})
 UNION ALL SELECT 'ESTIMATED F1 SCORES', model, NULL, round(avg(est_f1), 6) FROM ({_SCORES}) GROUP BY model"""
+ORACLES["sink_metainfo"] = """
+SELECT 'run-1' AS run_id, 'parquet' AS dataset_filetype, '{"label": "c_mktsegment"}' AS dataset_config,
+       false AS oneshot, count(*) AS n_rows FROM customer"""
 ORACLES["sink_result_text"] = """
 SELECT 'CLASSIFICATION COMPLEXITY' AS section, 'is hard to classify' AS name
 UNION ALL SELECT 'ESTIMATED F1 SCORES', unnest([""" + ", ".join(f"'{m}'" for m in MODELS) + "])"
