@@ -170,7 +170,7 @@ def internal_indices(df: DataFrame, features: str = "features", cluster: str = "
         parts.append(long(matrix_stats(df, features, cluster, by), wanted(MATRIX_INDICES)))
     pairs = {x: x for x in PAIR_INDICES if x in names}
     if pairs:
-        parts.append(long(pair_indices(df, features, cluster, by, row_id, block_rows), pairs))
+        parts.append(long(pair_indices(df, features, cluster, by, row_id, block_rows, list(pairs)), pairs))
     if "Hartigan" in names:
         parts.append(long(hartigan(df, moments, features, by, row_id, seed), {"Hartigan": "Hartigan"}))
     result = parts[0]

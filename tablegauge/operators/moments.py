@@ -18,6 +18,8 @@ from tablegauge.session import broadcast_if_small
 
 #: Group accumulators one task keeps before it emits them.
 MAX_ACCUMULATORS = 256
+#: Up to this many features, products are summed as expressions (136 sums at most).
+EXPRESSION_WIDTH = 15
 
 
 def cluster_moments(df: DataFrame, features: str = "features", cluster: str = "cluster",
@@ -97,17 +99,34 @@ def cluster_dispersion(df: DataFrame, moments: DataFrame, means: DataFrame, feat
         "centroid_to_mean", euclidean_distance("centroid", "global_mean")).drop("global_mean")
 
 
+def _narrow_scatter(rows: DataFrame, by: list[str], width: int) -> DataFrame:
+    """:func:`scatter_rows` of a few features as plain sums: one hash aggregation, no Python."""
+    x = [F.col("features")[i] - F.col("global_mean")[i] for i in range(width)]
+    names = {(i, j): f"s_{i}_{j}" for i in range(width) for j in range(i, width)}
+    sums = rows.groupBy(*by, "cluster").agg(
+        F.count(F.lit(1)).alias("size"), *[F.sum(x[i]).alias(f"t_{i}") for i in range(width)],
+        *[F.sum(x[i] * x[j]).alias(name) for (i, j), name in names.items()])
+    lines = [F.struct(F.lit(-1).alias("i"), F.array(*[F.col(f"t_{i}") for i in range(width)]).alias("row"))]
+    for i in range(width):
+        cells = [F.col(names[min(i, j), max(i, j)]) for j in range(width)]
+        lines.append(F.struct(F.lit(i).alias("i"), F.array(*cells).alias("row")))
+    return sums.select(*by, "cluster", "size", F.inline(F.array(*lines))).select(*by, "cluster", "i", "size", "row")
+
+
 def scatter_rows(df: DataFrame, means: DataFrame, features: str = "features",
                  cluster: str = "cluster", by: Sequence[str] = ()) -> DataFrame:
     """``(by..., cluster, i, size, row)``: sums over the rows of each cluster, centred on the
     global mean.  ``i >= 0``: row i of X'X; ``i = -1``: the sum of X.
 
-    Every task adds up its own rows first, so the shuffle carries d + 1 short rows per
-    task, group and cluster.
+    Few features are summed as expressions.  For more, every task adds up its own rows as
+    matrices first, so the shuffle carries d + 1 short rows per task, group and cluster.
     """
     by = list(by)
     rows = attach_params(df.select(*by, F.col(cluster).cast("string").alias("cluster"),
                                    F.col(features).alias("features")), means, by)
+    first = rows.select(F.size("features")).first()
+    if first and first[0] <= EXPRESSION_WIDTH:
+        return _narrow_scatter(rows, by, first[0])
     schema = T.StructType([rows.schema[k] for k in by] + T.StructType.fromDDL(
         "cluster string, i int, size bigint, row array<double>").fields)
     names = [f.name for f in schema.fields]

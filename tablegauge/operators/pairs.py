@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Callable, Sequence
 
 import numpy as np
 import pandas as pd
@@ -68,15 +68,20 @@ def _extremes(d: np.ndarray, together: np.ndarray) -> pd.DataFrame:
                          "high": within.max() if len(within) else np.nan})
 
 
-def _scan_kernel(left: Block, right: Block, same: bool) -> pd.DataFrame:
-    d, pairs, together = _pair_values(left, right, same)
-    own, other = left.extra["cluster"], right.extra["cluster"]
-    reach = left.params["reach"]
-    parts = [_row_sums(d, left.ids, own, other), _extremes(pairs, together),
-             _histogram("small", pairs, 0.0, reach), _histogram("large", pairs, 0.0, reach)]
-    if not same:
-        parts.append(_row_sums(d.T, right.ids, other, own))
-    return pd.concat([p for p in parts if len(p)])
+def _scan_kernel(names: Sequence[str]) -> Callable[[Block, Block, bool], pd.DataFrame]:
+    """Partial results for the named indices from one look at two blocks."""
+    def kernel(left: Block, right: Block, same: bool) -> pd.DataFrame:
+        d, pairs, together = _pair_values(left, right, same)
+        own, other = left.extra["cluster"], right.extra["cluster"]
+        parts = [_extremes(pairs, together)]
+        if "Silhouette" in names:
+            parts.append(_row_sums(d, left.ids, own, other))
+            if not same:
+                parts.append(_row_sums(d.T, right.ids, other, own))
+        if "C" in names:
+            parts += [_histogram(side, pairs, 0.0, left.params["reach"]) for side in ("small", "large")]
+        return pd.concat([p for p in parts if len(p)])
+    return kernel
 
 
 def _split_kernel(left: Block, right: Block, same: bool) -> pd.DataFrame:
@@ -125,8 +130,8 @@ def _bag_kernel(left: Block, right: Block, same: bool) -> pd.DataFrame:
 
 def pair_indices(df: DataFrame, features: str = "features", cluster: str | Sequence[str] = "cluster",
                  by: Sequence[str] = (), row_id: str = "row_id",
-                 block_rows: int = BLOCK_ROWS) -> DataFrame:
-    """``(by..., Silhouette, C, Dunn)``, exact, with plain Euclidean distances.
+                 block_rows: int = BLOCK_ROWS, names: Sequence[str] = PAIR_INDICES) -> DataFrame:
+    """``(by..., Silhouette, C, Dunn)`` or the named ones of them, exact, with plain Euclidean distances.
 
     A row alone in its cluster scores 0 in the silhouette.  Groups that fit in one block
     are finished inside one task; larger ones go through the block scan.  Several cluster
@@ -139,29 +144,39 @@ def pair_indices(df: DataFrame, features: str = "features", cluster: str | Seque
     if extent[1] <= block_rows:
         found = scan_pairs(rows, _bag_kernel, "algorithm string, Silhouette double, C double, Dunn double", by,
                            extra=columns, block_rows=block_rows, extent=extent)
-        return found.drop("algorithm") if isinstance(cluster, str) else found
+        keys = by if isinstance(cluster, str) else [*by, "algorithm"]
+        return found.select(*keys, *[n for n in PAIR_INDICES if n in names])
     parts = [_scanned_indices(rows.withColumnRenamed(c, "cluster").select(*by, "row_id", "features", "cluster"),
-                              by, block_rows).withColumn("algorithm", F.lit(c)) for c in columns]
+                              by, block_rows, names).withColumn("algorithm", F.lit(c)) for c in columns]
     result = parts[0]
     for part in parts[1:]:
         result = result.unionByName(part)
     return result.drop("algorithm") if isinstance(cluster, str) else result
 
 
-def _scanned_indices(rows: DataFrame, by: list[str], block_rows: int) -> DataFrame:
-    partial = _scan(rows, by, block_rows)
-    parts = [_silhouette(partial, by), _c_index(rows, partial, by, block_rows), _dunn(partial, by)]
-    return parts[0].join(parts[1], by).join(parts[2], by) if by else fold(parts)
+def _scanned_indices(rows: DataFrame, by: list[str], block_rows: int, names: Sequence[str]) -> DataFrame:
+    partial = _scan(rows, by, block_rows, names)
+    makers = {"Silhouette": lambda: _silhouette(partial, by), "Dunn": lambda: _dunn(partial, by),
+              "C": lambda: _c_index(rows, partial, by, block_rows)}
+    parts = [makers[n]() for n in PAIR_INDICES if n in names]
+    if not by:
+        return fold(parts)
+    result = parts[0]
+    for part in parts[1:]:
+        result = result.join(part, by)
+    return result
 
 
-def _scan(rows: DataFrame, by: list[str], block_rows: int) -> DataFrame:
+def _scan(rows: DataFrame, by: list[str], block_rows: int, names: Sequence[str]) -> DataFrame:
     """One pass over the block pairs; the sums are written to the checkpoint folder."""
     from tablegauge.operators.moments import global_means, to_mean
 
-    # No two rows are further apart than twice the largest distance to the mean.
-    reach = (to_mean(rows, global_means(rows, by), by).groupBy(*by)
-             .agg((F.lit(2.0) * F.max("to_mean") * (1 + 1e-9)).alias("reach")))
-    partial = scan_pairs(rows, _scan_kernel, PARTIAL, by, extra=["cluster"], params=reach,
+    reach = None
+    if "C" in names:
+        # No two rows are further apart than twice the largest distance to the mean.
+        reach = (to_mean(rows, global_means(rows, by), by).groupBy(*by)
+                 .agg((F.lit(2.0) * F.max("to_mean") * (1 + 1e-9)).alias("reach")))
+    partial = scan_pairs(rows, _scan_kernel(names), PARTIAL, by, extra=["cluster"], params=reach,
                          block_rows=block_rows)
     return materialize(_combine(partial, by))
 

@@ -133,6 +133,14 @@ def test_scatter_matrices(spark, points):
     assert np.allclose(got, expected)
 
 
+def test_wide_scatter_equals_narrow(spark, points, monkeypatch):
+    from tablegauge.operators import moments
+    names = ["Det-Ratio", "Trace-WiB", "Scott-Symons"]
+    narrow = values(internal_indices(frame(spark, *points), names=names))
+    monkeypatch.setattr(moments, "EXPRESSION_WIDTH", 0)
+    assert values(internal_indices(frame(spark, *points), names=names)) == pytest.approx(narrow)
+
+
 def test_unknown_index(spark, points):
     with pytest.raises(KeyError):
         internal_indices(frame(spark, *points), names=["Nope"])
