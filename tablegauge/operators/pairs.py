@@ -154,6 +154,19 @@ def pair_indices(df: DataFrame, features: str = "features", cluster: str | Seque
     return result.drop("algorithm") if isinstance(cluster, str) else result
 
 
+def row_cluster_distances(df: DataFrame, features: str = "features", cluster: str = "cluster",
+                          by: Sequence[str] = (), row_id: str = "row_id",
+                          block_rows: int = BLOCK_ROWS) -> DataFrame:
+    """``(by..., row_id, cluster, n, total)``: number and sum of a row's distances to the
+    members of every cluster (the row itself included, at distance 0)."""
+    by = list(by)
+    rows = df.select(*by, F.col(row_id).alias("row_id"), F.col(features).alias("features"),
+                     F.col(cluster).cast("string").alias("cluster"))
+    partial = scan_pairs(rows, _scan_kernel(["Silhouette"]), PARTIAL, by, extra=["cluster"], block_rows=block_rows)
+    return (partial.where("kind = 'row'").groupBy(*by, F.col("id").alias("row_id"), F.col("other").alias("cluster"))
+            .agg(F.sum("n").alias("n"), F.sum("total").alias("total")))
+
+
 def _scanned_indices(rows: DataFrame, by: list[str], block_rows: int, names: Sequence[str]) -> DataFrame:
     partial = _scan(rows, by, block_rows, names)
     makers = {"Silhouette": lambda: _silhouette(partial, by), "Dunn": lambda: _dunn(partial, by),

@@ -10,7 +10,6 @@ from pyspark.sql import functions as F
 from tablegauge.functions.numbers import nominal_limit_column
 from tablegauge.functions.vectors import euclidean_distance
 from tablegauge.operators import classes, cleaning, contingency, encoding, moments, pairs, sampling, scaling, scores
-from tablegauge.operators.blocks import scan_pairs
 from tablegauge.operators.clustering import ALGORITHMS, assign_nearest, cluster_groups, long_clusters
 from tablegauge.operators.clustering.fixed import class_centroids
 from tablegauge.operators.clustering.hdbscan import hdbscan
@@ -305,17 +304,8 @@ def contingency_table(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query("pair_distances")
 def pair_distances(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Per row: number and sum of its distances to every cluster (itself at distance 0)."""
-    def kernel(left, right, same):
-        d = pairs._pair_values(left, right, same)[0]
-        out = [pairs._row_sums(d, left.ids, left.extra["cluster"], right.extra["cluster"])]
-        if not same:
-            out.append(pairs._row_sums(d.T, right.ids, right.extra["cluster"], left.extra["cluster"]))
-        return pairs.pd.concat(out)
-
-    scanned = scan_pairs(fx.embeddings(spark, sf_dir), kernel, pairs.PARTIAL, extra=["cluster"], block_rows=256)
-    sums = scanned.groupBy("id", "other").agg(F.sum("n").alias("n"), F.sum("total").alias("total"))
-    return sums.select(F.col("id").alias("row_id"), F.col("other").cast("int").alias("cluster"), "n",
+    sums = pairs.row_cluster_distances(fx.embeddings(spark, sf_dir), block_rows=256)
+    return sums.select("row_id", F.col("cluster").cast("int").alias("cluster"), "n",
                        F.round("total", 6).alias("total_distance"))
 
 
