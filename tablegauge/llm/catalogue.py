@@ -4,10 +4,11 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from tablegauge.llm import exact, quality_rules, secrets
-from tablegauge.llm.common import documents, prepared
+from tablegauge.llm import exact, packing, quality_model, quality_rules, secrets, toxicity
+from tablegauge.llm.common import documents, labels, prepared
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -21,11 +22,26 @@ def query(name: str) -> Callable[[Query], Query]:
     return register
 
 
+@query("op2_toxicity")
+def op2_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return toxicity.toxicity(documents(prepared(spark), sf_dir), labels(spark, sf_dir))
+
+
+@query("op5_quality_model")
+def op5_quality_model(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality_model.quality(documents(prepared(spark), sf_dir), labels(spark, sf_dir))
+
+
 @query("op4_quality_rules")
 def op4_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_rules.quality_rules(documents(prepared(spark), sf_dir))
 
 
+@query("op7_best_fit_packing")
+def op7_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return packing.pack(documents(prepared(spark), sf_dir), public_tokenizers.path("byte_bpe_50k.json"))
+
+
 @query("op8_exact_dedup")
 def op8_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact.exact_duplicates(documents(prepared(spark), sf_dir))
