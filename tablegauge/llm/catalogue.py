@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from tablegauge.llm import exact, near, packing, quality_model, quality_rules, secrets, toxicity
+from tablegauge.llm import exact, near, packing, piece_codec, quality_model, quality_rules, secrets, toxicity
 from tablegauge.llm.common import documents, labels, prepared
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -42,6 +42,11 @@ def op4_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_rules.quality_rules(documents(prepared(spark), sf_dir))
 
 
+@query("op6_sentencepiece")
+def op6_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return piece_codec.round_trip(documents(prepared(spark), sf_dir), public_tokenizers.path("piece_bpe_32k.model"))
+
+
 @query("op7_best_fit_packing")
 def op7_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(documents(prepared(spark), sf_dir), public_tokenizers.path("byte_bpe_50k.json"))
