@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from tablegauge.llm import exact, near, packing, piece_codec, quality_model, quality_rules, secrets, toxicity
+from tablegauge.llm import exact, near, packing, piece_codec, quality_model, quality_rules, secrets, suffixes, toxicity
 from tablegauge.llm.common import documents, labels, prepared
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -22,6 +22,11 @@ def query(name: str) -> Callable[[Query], Query]:
     return register
 
 
+@query("op1_suffix_dedup")
+def op1_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return suffixes.repeated_passages(documents(prepared(spark), sf_dir)).drop("runs")
+
+
 @query("op2_toxicity")
 def op2_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity.toxicity(documents(prepared(spark), sf_dir), labels(spark, sf_dir))
