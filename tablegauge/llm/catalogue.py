@@ -74,7 +74,7 @@ WITH n AS (SELECT doc_id, regexp_replace(coalesce(text, ''), '[\x20\x09-\x0D]+',
                   length(coalesce(text, '')) AS n_chars FROM documents),
 w AS (SELECT *, first_value(doc_id) OVER (PARTITION BY body ORDER BY n_chars DESC, doc_id) AS keep_id,
              count(*) OVER (PARTITION BY body) AS group_size FROM n)
-SELECT doc_id, keep_id, group_size, doc_id = keep_id AS kept, sha256(body) AS text_sha256 FROM w"""
+SELECT doc_id, keep_id, group_size, doc_id = keep_id AS kept, sha256(body) AS text_sha256, n_chars FROM w"""
 
 ORACLES["op4_quality_rules"] = r"""
 WITH d AS (SELECT doc_id, coalesce(text, '') AS text FROM documents),

@@ -57,3 +57,15 @@ def pieces(frame: pd.DataFrame, columns: Iterable[str], characters: int = 4_000_
         total += int(n)
     if start < len(lengths):
         yield frame.iloc[start:]
+
+
+def fresh(frame: DataFrame, *names: str) -> list[str]:
+    """Names like ``names`` that no column of ``frame`` has, whatever its letters' case."""
+    taken = {c.lower() for c in frame.columns}
+    out = []
+    for name in names:
+        while name.lower() in taken:
+            name = f"_{name}"
+        taken.add(name.lower())
+        out.append(name)
+    return out

@@ -7,7 +7,7 @@ from decimal import Decimal
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tablegauge.llm.common import SPACES, id_and_text, without
+from tablegauge.llm.common import SPACES, fresh, id_and_text, without
 from tablegauge.session import broadcast_if_small, materialize
 
 #: Rows of one digest from which on its group is dealt over several salts.
@@ -17,7 +17,7 @@ SALTS = 64
 
 def exact_duplicates(docs: DataFrame, id_column: str = "doc_id", text_column: str = "text",
                      hot_rows: int = HOT_ROWS, salts: int = SALTS) -> DataFrame:
-    """``doc_id, keep_id, group_size, kept, text_sha256`` for every row of ``docs``.
+    """``doc_id, keep_id, group_size, kept, text_sha256, n_chars`` for every row of ``docs``.
 
     Texts are equal when they are identical without white space.  The stages:
 
@@ -69,4 +69,27 @@ def exact_duplicates(docs: DataFrame, id_column: str = "doc_id", text_column: st
     return (rows.select("doc_id", "n_chars", *key).join(groups, key)
             .select("doc_id", "keep_id", "group_size",
                     (F.col("doc_id").eqNullSafe(F.col("keep_id")) & (F.col("n_chars") == F.col("most"))).alias("kept"),
-                    F.col("digest").alias("text_sha256")))
+                    F.col("digest").alias("text_sha256"), F.col("n_chars").cast("bigint").alias("n_chars")))
+
+
+def without_copies(docs: DataFrame, text_column: str = "text") -> DataFrame:
+    """One row of each group of equal texts of ``docs``, with all its columns.
+
+    Rows that :func:`exact_duplicates` cannot tell apart are one document: one of them stays.
+    """
+    verdicts = materialize(exact_duplicates(docs, text_column=text_column))
+    dropped = verdicts.where(~F.col("kept")).select("doc_id", "text_sha256", "n_chars").distinct()
+    repeated = (verdicts.where("kept").groupBy("doc_id", "text_sha256", "n_chars").agg(F.count(F.lit(1)).alias("n"))
+                .where("n > 1").drop("n"))
+    digest, size = fresh(docs, "digest", "size")
+    text = F.coalesce(F.col(text_column), F.lit(""))
+    marked = docs.withColumn(digest, F.sha2(without(text, SPACES), 256)).withColumn(size, F.char_length(text).cast("bigint"))
+
+    def of(keys: DataFrame, how: str) -> DataFrame:
+        keys = broadcast_if_small(materialize(keys), 16)
+        return marked.join(keys, marked["doc_id"].eqNullSafe(keys["doc_id"]) & (marked[digest] == keys["text_sha256"])
+                           & (marked[size] == keys["n_chars"]), how)
+
+    # The two key lists are disjoint, so rows that stand for one document are counted once.
+    single = of(dropped.unionByName(repeated), "left_anti")
+    return single.unionByName(of(repeated, "left_semi").dropDuplicates(["doc_id", digest])).drop(digest, size)

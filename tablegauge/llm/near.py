@@ -10,7 +10,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tablegauge.llm.common import id_and_text
+from tablegauge.llm.common import fresh, id_and_text
 from tablegauge.session import broadcast_if_small, materialize
 
 WIDTH, PERCENT = 4, 80
@@ -191,7 +191,7 @@ def near_duplicates(docs: DataFrame, id_column: str = "doc_id", text_column: str
     So a large group of near copies costs a comparison per member, not per pair.
 
     Texts without words have empty sets and are linked with nothing, not even each other.  A null
-    id never links and keeps a null component; kept is false then.  Rows repeated with one id and
+    id never links, has a null component and is kept.  Rows repeated with one id and
     set share a verdict; an id with two sets links both.  Empty tables give no rows; other
     columns are ignored.
     """
@@ -241,4 +241,12 @@ def near_duplicates(docs: DataFrame, id_column: str = "doc_id", text_column: str
         lambda batches: (pd.DataFrame({"n_shingles": [len(shingles(t)) for t in b["text"]]}) for b in batches), "n_shingles bigint")
     nulls = nulls.select(F.lit(None).cast("bigint").alias("doc_id"), "n_shingles", F.lit(None).cast("bigint").alias("component_id"))
     return found.unionByName(nulls).withColumn(
-        "kept", F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(False)))
+        "kept", F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(True)))
+
+
+def without_near_copies(docs: DataFrame) -> DataFrame:
+    """One document of each component of ``docs``, with all its columns."""
+    (gone,) = fresh(docs, "gone")
+    dropped = near_duplicates(docs).where(~F.col("kept")).select(F.col("doc_id").alias(gone)).distinct()
+    dropped = broadcast_if_small(materialize(dropped))
+    return docs.join(dropped, docs["doc_id"] == dropped[gone], "left_anti")

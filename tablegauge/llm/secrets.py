@@ -10,8 +10,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from tablegauge.llm.common import id_and_text, pieces
-from tablegauge.session import broadcast_if_small, materialize
+from tablegauge.llm.common import fresh, id_and_text, pieces
+from tablegauge.session import broadcast_if_small, materialize, scratch_path
 
 #: Raise it with every change of the rules: blobs scanned under another version are scanned again.
 RULE_VERSION = "1"
@@ -90,7 +90,6 @@ def scan_versions(versions: DataFrame, ledger: DataFrame, id_column: str = "doc_
 
 
 def _written(entries: DataFrame) -> str:
-    from tablegauge.session import scratch_path
     path = scratch_path(entries.sparkSession, "ledger")
     entries.write.parquet(path)
     return path
@@ -119,3 +118,26 @@ def redacted(text: str, spans: list[tuple[int, int]], mark: str = "<secret>") ->
         out += [text[at:start], mark]
         at = end
     return "".join([*out, text[at:]])
+
+
+def without_secrets(docs: DataFrame, ledger: DataFrame) -> DataFrame:
+    """All rows of ``docs``; the text of those with findings is masked and ``n_chars`` counted anew."""
+    findings, _ = scan_versions(docs, ledger)
+    blob, spans, hit_id, hit_blob = fresh(docs, "blob", "spans", "hit_id", "hit_blob")
+    hits = materialize(findings.where(F.size("findings") > 0).select(
+        F.col("doc_id").alias(hit_id), F.col("blob").alias(hit_blob), F.col("findings").alias(spans)).dropDuplicates([hit_id, hit_blob]))
+
+    @F.pandas_udf("string")
+    def mask(texts: pd.Series, found: pd.Series) -> pd.Series:
+        return pd.Series([None if t is None else redacted(t, [(f["start"], f["end"]) for f in fs])
+                          for t, fs in zip(texts, found)], dtype=object)
+
+    text = F.coalesce(F.col("text"), F.lit(""))
+    joined = docs.withColumn(blob, F.sha2(text, 256)).join(
+        broadcast_if_small(hits, 16), F.col("doc_id").eqNullSafe(F.col(hit_id)) & (F.col(blob) == F.col(hit_blob)), "left")
+    # Only texts with findings go through Python.
+    masked = F.when(F.col(spans).isNotNull(), mask(F.when(F.col(spans).isNotNull(), F.col("text")), F.col(spans)))
+    out = joined.withColumn("text", F.coalesce(masked, F.col("text")))
+    if "n_chars" in docs.columns:
+        out = out.withColumn("n_chars", F.when(F.col(spans).isNotNull(), F.char_length("text").cast("bigint")).otherwise(F.col("n_chars")))
+    return out.select(*docs.columns)

@@ -295,3 +295,9 @@ def toxicity(docs: DataFrame, labels: DataFrame, threshold: float = THRESHOLD) -
     score = scorer(spark, train(docs, labels))
     return (id_and_text(docs).select("doc_id", held_out("doc_id").alias("held_out"), score(F.col("text")).alias("score"))
             .withColumn("predicted", (F.col("score") >= threshold).cast("int")))
+
+
+def without_toxic(docs: DataFrame, labels: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
+    """The rows of ``docs`` whose score is below ``threshold``, with all their columns."""
+    score = scorer(docs.sparkSession, train(docs, labels))
+    return docs.where(score(F.col("text")) < threshold)
