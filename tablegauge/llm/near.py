@@ -18,8 +18,11 @@ WIDTH, PERCENT = 4, 80
 #: A pair of similarity 0.8 meets in no table with chance 2 * (1 - 0.8 ** 3) ** 16 = 2e-5, one of
 #: 0.85 with 5e-7; a pair of 0.8 meets in 67 tables on average.
 SIDE, HASHES = 16, 3
-#: Fresh tables that split buckets with several components.
-SPLITS = 12
+#: Equal minima, of all 2 * SIDE * HASHES, from which on a pair of a mixed bucket is compared on its
+#: full sets: a pair of similarity 0.8 has 77 +- 4 and falls below with chance 2e-6.
+LEAST_EQUAL = 58
+#: Rows of a bucket that meet in one piece, and rows of a task.
+CELL_ROWS, SHARD_ROWS = 2_000, 20_000
 CACHE_WORDS = 500_000
 _M1, _M2 = np.uint64(0xBF58476D1CE4E5B9), np.uint64(0x94D049BB133111EB)
 
@@ -64,25 +67,32 @@ def _multipliers(n: int, seed: int) -> np.ndarray:
     return np.random.default_rng(seed).integers(0, 2**63, n, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
 
 
-def side_keys(hashes: np.ndarray, side: int, seed: int) -> np.ndarray:
-    """``2 * side`` keys of a set, left ones, then right ones; the low 6 bits hold the place."""
-    a = _multipliers(2 * side * HASHES, seed)
-    least = np.array([(hashes * m).min() for m in a])
-    keys = np.zeros(2 * side, dtype=np.uint64)
+_A = _multipliers(2 * SIDE * HASHES, 11)
+
+
+def sketch(hashes: np.ndarray) -> tuple[np.ndarray, bytes]:
+    """``2 * SIDE`` keys of a set, left ones, then right ones, and 16 bits of each minimum.
+
+    The low 6 bits of a key hold its place, so keys of different places never agree.
+    """
+    least = np.array([(hashes * m).min() for m in _A])
+    keys = np.zeros(2 * SIDE, dtype=np.uint64)
     for k in range(HASHES):
         keys = mix(keys + least[k::HASHES] + np.uint64(k + 1))
-    return keys & ~np.uint64(63) | np.arange(2 * side, dtype=np.uint64)
+    return keys & ~np.uint64(63) | np.arange(2 * SIDE, dtype=np.uint64), mix(least).astype(np.uint16).tobytes()
 
 
 def _sketch(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
     for batch in batches:
-        n, digest, keys = [], [], []
+        n, digest, keys, minima = [], [], [], []
         for text in batch["text"]:
             s = shingles(text)
             n.append(len(s))
             digest.append(xxhash.xxh3_128_hexdigest(s.tobytes()))
-            keys.append(side_keys(s, SIDE, 11).view(np.int64) if len(s) else None)
-        yield pd.DataFrame({"doc_id": batch["doc_id"], "n_shingles": n, "digest": digest, "keys": keys})
+            own = sketch(s) if len(s) else None
+            keys.append(own[0].view(np.int64) if own else None)
+            minima.append(own[1] if own else None)
+        yield pd.DataFrame({"doc_id": batch["doc_id"], "n_shingles": n, "digest": digest, "keys": keys, "minima": minima})
 
 
 def _sets(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -90,12 +100,48 @@ def _sets(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         yield batch[["a", "b"]].assign(hashes=[shingles(t).view(np.int64) for t in batch["text"]])
 
 
-def _split_keys(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    """Fresh keys of six minima each, to split buckets that hold many components."""
-    for batch in batches:
-        both = [side_keys(shingles(t), SPLITS, 23) for t in batch["text"]]
-        yield pd.DataFrame({"doc_id": batch["doc_id"],
-                            "splits": [mix(k[:SPLITS] + mix(k[SPLITS:])).view(np.int64) for k in both]})
+def _alike(frame: pd.DataFrame) -> pd.DataFrame:
+    """Pairs of different components in the cells of a shard whose sketches are alike.
+
+    A pair is taken in the first table only in which it meets: no earlier left key and no earlier
+    right key of the two agree.
+    """
+    found = []
+    frame = frame.sort_values(["cell", "doc_id"], ignore_index=True)
+    ends = np.flatnonzero(np.append(frame["cell"].to_numpy()[1:] != frame["cell"].to_numpy()[:-1], True)) + 1
+    minima = np.frombuffer(b"".join(frame["minima"]), dtype=np.uint16).reshape(len(frame), -1)
+    ids, parts, block, place = (frame[c].to_numpy() for c in ("doc_id", "component", "block", "place"))
+    diagonal, start = frame["diagonal"].to_numpy(), 0
+    for end in ends.tolist():
+        i, j = divmod(int(place[start]), 64)
+        step = max(1, 4_000_000 // ((end - start) * minima.shape[1]))
+        for at in range(start, end, step):
+            rows = slice(at, min(end, at + step))
+            apart = (parts[rows, None] != parts[None, start:end]) & (ids[rows, None] < ids[None, start:end])
+            if not diagonal[start]:
+                apart &= block[rows, None] != block[None, start:end]
+            x, y = np.nonzero(apart)
+            equal = minima[x + at] == minima[y + start]
+            keys = equal.reshape(len(x), 2 * SIDE, HASHES).all(2)
+            take = (equal.sum(1) >= LEAST_EQUAL) & ~keys[:, :i].any(1) & ~keys[:, SIDE:j].any(1)
+            found.append(np.stack([ids[x + at][take], ids[y + start][take]], 1))
+        start = end
+    pairs = np.concatenate(found) if found else np.zeros((0, 2), dtype=np.int64)
+    return pd.DataFrame({"a": pairs[:, 0], "b": pairs[:, 1]})
+
+
+def _cells(mixed: DataFrame, minima: DataFrame) -> DataFrame:
+    """Rows of mixed buckets, dealt into cells of bounded size in which every pair meets once.
+
+    A bucket of more than CELL_ROWS rows is dealt into blocks; each two blocks make a cell.
+    """
+    sized = mixed.withColumn("blocks", F.ceil(F.col("n") / CELL_ROWS).cast("int"))
+    own = F.pmod(F.xxhash64("doc_id"), F.col("blocks")).cast("int")
+    dealt = (sized.withColumn("block", own)
+             .withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))))
+    return (dealt.withColumn("cell", F.xxhash64("bucket", F.least("block", "other"), F.greatest("block", "other")))
+            .withColumn("diagonal", F.col("block") == F.col("other")).join(minima, "doc_id")
+            .select("cell", "doc_id", "component", "block", "diagonal", "place", "minima"))
 
 
 def _similar(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -146,7 +192,7 @@ def connected(edges: DataFrame) -> DataFrame:
 
 
 def _tables(half: DataFrame) -> DataFrame:
-    """``(bucket, doc_id)`` of all tables in which a set meets another: left key with right key.
+    """``(bucket, place, doc_id)`` of all tables in which a set meets another: left key with right key.
 
     Half keys that only one set has are dropped first, as no table with them can hold two.
     """
@@ -157,7 +203,8 @@ def _tables(half: DataFrame) -> DataFrame:
                                        F.collect_set(F.when(~is_left, F.col("key"))).alias("right"))
     all_ = (sides.select("doc_id", F.explode("left").alias("l"), "right")
             .select("doc_id", "l", F.explode("right").alias("r"))
-            .select(F.xxhash64("l", "r").alias("bucket"), "doc_id"))
+            .select(F.xxhash64("l", "r").alias("bucket"),
+                    (F.col("l").bitwiseAND(F.lit(63)) * 64 + F.col("r").bitwiseAND(F.lit(63))).cast("int").alias("place"), "doc_id"))
     shared = all_.groupBy("bucket").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("bucket")
     return all_.join(shared, "bucket", "left_semi")
 
@@ -165,13 +212,14 @@ def _tables(half: DataFrame) -> DataFrame:
 def _place(cells: DataFrame, parts: DataFrame) -> DataFrame:
     """``cells`` with the component of every document."""
     return (cells.join(parts.withColumnRenamed("node", "doc_id"), "doc_id", "left")
-            .select("bucket", "doc_id", F.coalesce("component", "doc_id").alias("component")))
+            .select("bucket", "place", "doc_id", F.coalesce("component", "doc_id").alias("component")))
 
 
 def _mixed(placed: DataFrame) -> DataFrame:
-    """The rows of buckets that hold several components."""
-    ends = placed.groupBy("bucket").agg(F.min("component").alias("lo"), F.max("component").alias("hi")).where("lo < hi")
-    return placed.join(ends.select("bucket"), "bucket", "left_semi")
+    """The rows of buckets that hold several components, with the bucket's size ``n``."""
+    ends = placed.groupBy("bucket").agg(F.min("component").alias("lo"), F.max("component").alias("hi"),
+                                        F.count(F.lit(1)).alias("n")).where("lo < hi")
+    return placed.join(ends.select("bucket", "n"), "bucket")
 
 
 def near_duplicates(docs: DataFrame, id_column: str = "doc_id", text_column: str = "text") -> DataFrame:
@@ -184,9 +232,8 @@ def near_duplicates(docs: DataFrame, id_column: str = "doc_id", text_column: str
     2. Left and right keys are combined to tables.  Every set is compared with that first member
        of its buckets which it meets most often; confirmed links make components.
     3. First members and others of a bucket in different components are compared.
-    4. Buckets that still hold several components are split by fresh keys; members of different
-       components that meet again are compared.  A true pair shares dozens of buckets and each
-       split misses it with chance 0.03, so nothing is lost here.
+    4. In buckets that still hold several components, members of different ones are compared by
+       their minima, inside the tasks; pairs that are alike are confirmed on the full sets.
 
     So a large group of near copies costs a comparison per member, not per pair.
 
@@ -198,7 +245,7 @@ def near_duplicates(docs: DataFrame, id_column: str = "doc_id", text_column: str
     rows = id_and_text(docs, id_column, text_column)
     # Null ids cannot be reached by a link.
     sketches = materialize(rows.where("doc_id IS NOT NULL").mapInPandas(
-        _sketch, "doc_id bigint, n_shingles bigint, digest string, keys array<bigint>"))
+        _sketch, "doc_id bigint, n_shingles bigint, digest string, keys array<bigint>, minima binary"))
     full = sketches.where("n_shingles > 0")
     classes = materialize(full.groupBy("digest").agg(F.min("doc_id").alias("rep")))
     one = full.join(classes, (full["digest"] == classes["digest"]) & (full["doc_id"] == classes["rep"]), "left_semi") \
@@ -223,15 +270,11 @@ def near_duplicates(docs: DataFrame, id_column: str = "doc_id", text_column: str
     parts = materialize(connected(links))
     # 4: what still lies in mixed buckets.
     mixed = materialize(_mixed(_place(buckets, parts)))
-    ids = materialize(mixed.select("doc_id").distinct())
-    splits = rows.join(broadcast_if_small(ids), "doc_id", "left_semi").mapInPandas(_split_keys, "doc_id bigint, splits array<bigint>")
-    cells = (mixed.join(splits, "doc_id").select("bucket", "doc_id", "component", F.explode("splits").alias("split"))
-             .select(F.xxhash64("bucket", "split").alias("bucket"), "doc_id", "component").distinct())
-    cells = materialize(_mixed(cells))
-    x = cells.select("bucket", F.col("doc_id").alias("a"), F.col("component").alias("ca"))
-    y = cells.select("bucket", F.col("doc_id").alias("b"), F.col("component").alias("cb"))
-    pairs = x.join(y, "bucket").where("ca < cb").select("a", "b").distinct()
-    seen = stars.select("a", "b").unionByName(stars.select(F.col("b").alias("a"), F.col("a").alias("b")))
+    minima = one.select("doc_id", "minima")
+    n_shards = max(1, -(-mixed.count() // SHARD_ROWS))
+    pairs = (_cells(mixed, minima).withColumn("shard", F.pmod(F.col("cell"), F.lit(n_shards)))
+             .groupBy("shard").applyInPandas(_alike, "a bigint, b bigint").distinct())
+    seen = stars.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
     links = links.unionByName(_verified(pairs.join(seen, ["a", "b"], "left_anti"), rows))
     parts = connected(links.unionByName(copies))
     parts = parts.withColumnRenamed("node", "doc_id")
