@@ -478,6 +478,54 @@ def cluster_hdbscan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return hdbscan(_without_cluster(spark, sf_dir)).select("row_id", "cluster")
 
 
+def _planted(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Embeddings moved far apart by their label: every clustering must give the labels back."""
+    axes = F.transform(F.sequence(F.lit(0), F.lit(9)), lambda i: F.when(i == F.col("cluster"), 50.0).otherwise(0.0))
+    points = fx.embeddings(spark, sf_dir).withColumn("features", F.concat(axes, F.slice("features", 1, 4)))
+    return materialize(points.select("row_id", "features", F.col("cluster").alias("planted")))
+
+
+def _by_least_row(clustered: DataFrame) -> DataFrame:
+    """Clusters named by their least row: comparable without regard to numbering."""
+    clustered = materialize(clustered.select("row_id", "cluster"))
+    names = clustered.groupBy("cluster").agg(F.min("row_id").alias("first_row"))
+    return clustered.join(names, "cluster").select("row_id", "first_row")
+
+
+PLANTED = {
+    "cluster_kmeans_planted": lambda rows, k: kmeans(rows, k),
+    "cluster_ward_planted": lambda rows, k: ward(rows, k),
+    "cluster_spectral_planted": lambda rows, k: spectral(rows, k),
+    "cluster_hdbscan_planted": lambda rows, k: hdbscan(rows),
+}
+
+
+def _planted_query(name: str) -> Query:
+    def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+        rows = _planted(spark, sf_dir)
+        return _by_least_row(PLANTED[name](rows, rows.select("planted").distinct().count()))
+    return run
+
+
+for _name in PLANTED:
+    QUERIES[_name] = _planted_query(_name)
+
+
+@query("cluster_summary_planted")
+def cluster_summary_planted(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = _planted(spark, sf_dir)
+    table = cluster_summary(kmeans(rows, rows.select("planted").distinct().count()))
+    return table.select("size", F.round("inertia", 6).alias("inertia"))
+
+
+@query("int_hartigan_planted")
+def int_hartigan_planted(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Two labels in one cluster: one cluster more is the planted partition."""
+    rows = _planted(spark, sf_dir).withColumn("cluster", F.greatest("planted", F.lit(1)))
+    found = internal_indices(rows, names=["Hartigan"])
+    return found.select("index_name", F.round(F.col("value") / 1000, 4).alias("thousands"))
+
+
 @query("cluster_bags")
 def cluster_bags(spark: SparkSession, sf_dir: str) -> DataFrame:
     clustered = long_clusters(cluster_groups(_bags(spark, sf_dir)), list(ALGORITHMS), ["bag_id"])
@@ -605,7 +653,10 @@ def sink_result_text(spark: SparkSession, sf_dir: str) -> DataFrame:
     path = scratch_path(spark, "text")
     scores_ = mean_scores(_bag_scores(spark, sf_dir)).withColumn("est_f1", F.round("est_f1", 2))
     results.write_result_text(results.result_rows(vote_hardness(_bag_hardness(spark, sf_dir)), scores_), path)
-    return spark.read.text(path).select("section", F.split("value", " = ")[0].alias("name"))
+    value = F.split("value", " = ")[1]
+    return spark.read.text(path).select(
+        "section", F.split("value", " = ")[0].alias("name"),
+        F.when(value.isin("True", "False"), value).alias("text"), value.try_cast("double").alias("number"))
 
 
 # --- F1 and meta-models ------------------------------------------------------------------------
@@ -670,12 +721,12 @@ def f1_all(spark: SparkSession, sf_dir: str) -> DataFrame:
     return true_f1.true_f1_scores(fx.document_points(spark, sf_dir), options=options)
 
 
-_TRAINED: dict[tuple[int, str], tuple] = {}
+_TRAINED: dict[tuple[str, str], tuple] = {}
 
 
 def _meta(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, scoring.MetaModels]:
     """Feature vectors and models of two tasks per table, trained once per session."""
-    key = (id(spark.sparkContext), sf_dir)
+    key = (spark.sparkContext.applicationId, sf_dir)
     if key not in _TRAINED:
         features, truths = None, None
         for segment in ("BUILDING", "MACHINERY"):
@@ -707,8 +758,6 @@ def score_hardness(spark: SparkSession, sf_dir: str) -> DataFrame:
 def _score_query(model: str) -> Query:
     def run(spark: SparkSession, sf_dir: str) -> DataFrame:
         features, models = _meta(spark, sf_dir)
-        if model not in models.regressors:
-            return features.select("bag_id", "task", F.lit(None).cast("double").alias("est_f1"))
         return scoring.estimate_model_f1(features, models, model)
     return run
 

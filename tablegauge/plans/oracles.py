@@ -378,9 +378,27 @@ UNION ALL SELECT 'ESTIMATED F1 SCORES', model, NULL, round(avg(est_f1), 6) FROM
 ORACLES["sink_metainfo"] = """
 SELECT 'run-1' AS run_id, 'parquet' AS dataset_filetype, '{"label": "c_mktsegment"}' AS dataset_config,
        false AS oneshot, count(*) AS n_rows FROM customer"""
-ORACLES["sink_result_text"] = """
-SELECT 'CLASSIFICATION COMPLEXITY' AS section, 'is hard to classify' AS name
-UNION ALL SELECT 'ESTIMATED F1 SCORES', unnest([""" + ", ".join(f"'{m}'" for m in MODELS) + "])"
+ORACLES["sink_result_text"] = ORACLES["sink_results"].replace("round(avg(est_f1), 6)", "round(avg(est_f1), 2)")
+
+# --- planted clusterings ----------------------------------------------------------------------------
+
+for _name in ("kmeans", "ward", "spectral", "hdbscan"):
+    ORACLES[f"cluster_{_name}_planted"] = """
+SELECT vec_id AS row_id, min(vec_id) OVER (PARTITION BY label) AS first_row FROM embeddings"""
+# Sums of squares of one partition over the four free features; the planted axes are constant in a label.
+_SQUARES = """
+x AS (SELECT label, g, unnest([1, 2, 3, 4]) AS f, unnest(embedding[1:4])::DOUBLE AS v FROM {source}),
+s AS (SELECT g, f, count(*) AS n, sum(v) AS t, sum(v * v) AS q FROM x GROUP BY g, f),
+w AS (SELECT g, max(n) AS n, sum(q - t * t / n) AS wgss FROM s GROUP BY g)"""
+ORACLES["cluster_summary_planted"] = "WITH " + _SQUARES.format(source="(SELECT *, label AS g FROM embeddings)") + """
+SELECT n AS size, round(wgss, 6) AS inertia FROM w"""
+ORACLES["int_hartigan_planted"] = "WITH e AS (SELECT *, greatest(label, 1) AS g FROM embeddings), " + _SQUARES.format(
+    source="e") + """,
+m AS (SELECT sum(n) AS n, count(*) AS k, sum(wgss) AS w FROM w),
+-- labels 0 and 1 share a cluster: two axes vary in it
+a AS (SELECT 2 * 2500.0::DOUBLE * count(*) FILTER (label = 0) * count(*) FILTER (label = 1) / count(*) AS w FROM embeddings WHERE label < 2),
+f AS (SELECT sum(q - t * t / n) AS d FROM (SELECT label, f, count(*) AS n, sum(v) AS t, sum(v * v) AS q FROM x GROUP BY label, f))
+SELECT 'Hartigan' AS index_name, round((m.n - m.k - 1) * (m.w + a.w - f.d) / f.d / 1000, 4) AS thousands FROM m, a, f"""
 
 # --- F1 ---------------------------------------------------------------------------------------------
 

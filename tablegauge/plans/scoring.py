@@ -10,15 +10,12 @@ from __future__ import annotations
 from collections.abc import Mapping, Sequence
 from dataclasses import dataclass
 
-import numpy as np
-import pandas as pd
 from pyspark.ml import Pipeline, PipelineModel
 from pyspark.ml.classification import RandomForestClassifier
 from pyspark.ml.feature import Imputer, VectorAssembler
 from pyspark.ml.regression import RandomForestRegressor
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 from tablegauge.operators.metafeatures import FEATURE_NAMES
 from tablegauge.operators.verdicts import MODELS
@@ -122,24 +119,3 @@ def estimate_f1(features: DataFrame, models: MetaModels) -> DataFrame:
     names = F.create_map(*[x for m in models.regressors for x in (F.lit(MODEL_COLUMNS[m]), F.lit(m))])
     return (rows.unpivot(keys, [MODEL_COLUMNS[m] for m in models.regressors], "_c", "est_f1")
             .select(*keys, names[F.col("_c")].alias("model"), "est_f1"))
-
-
-def predict_onnx(features: DataFrame, path: str, out: str = "prediction") -> DataFrame:
-    """Score a user's ONNX model: one session per task, float32 vectors in feature order."""
-    check_features(features)
-    names = set(FEATURE_NAMES)
-    keys = [c for c in features.columns if c not in names]
-    schema = T.StructType([*[features.schema[k] for k in keys], T.StructField(out, T.DoubleType())])
-
-    def score(batches):
-        import onnxruntime
-
-        session = onnxruntime.InferenceSession(path)
-        source, target = session.get_inputs()[0].name, session.get_outputs()[0].name
-        for batch in batches:
-            x = batch[FEATURE_NAMES].to_numpy(dtype=np.float32)
-            result = pd.DataFrame(batch[keys])
-            result[out] = np.asarray(session.run([target], {source: x})[0], dtype=float).reshape(len(batch))
-            yield result
-
-    return features.mapInPandas(score, schema)
