@@ -18,7 +18,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from tablegauge.session import broadcast_if_small, spread
+from tablegauge.session import broadcast_if_small, match_groups, spread
 
 BLOCK_ROWS = 1024
 
@@ -54,7 +54,7 @@ def attach_params(df: DataFrame, params: DataFrame | None, by: Sequence[str]) ->
         return df
     names = [c for c in params.columns if c not in by]
     if by:
-        return df.join(params.select(*by, *names), list(by))
+        return match_groups(df, broadcast_if_small(params.select(*by, *names), 64), by)
     row = params.first()
     return df.withColumns({c: F.lit(row[c]).cast(params.schema[c].dataType) for c in names})
 
@@ -126,12 +126,13 @@ def scan_pairs(df: DataFrame, kernel: Kernel, schema: str, by: Sequence[str] = (
 
     blocks_of = F.ceil(F.col("_n") / block_rows).cast("int")
     if by:
-        rows = df.join(broadcast_if_small(sizes, len(by) + 1), by).withColumn("_blocks", blocks_of)
+        rows = match_groups(df, broadcast_if_small(sizes, len(by) + 1), by).withColumn("_blocks", blocks_of)
     else:
         rows = df.withColumn("_n", F.lit(largest)).withColumn("_blocks", blocks_of)
     rows = rows.withColumn("_block", F.pmod(F.xxhash64(id_col, F.lit("block")), F.col("_blocks")).cast("int"))
     keys = [*by, "_block", "_blocks"]
-    left = _packed(rows, keys, id_col, features, extra, "l")
+    # Parameters join one record per block, before the blocks are copied to their partners.
+    left = attach_params(_packed(rows, keys, id_col, features, extra, "l"), params, by)
     # Every unordered pair once, equally many partners per block: i meets i, i+1, ..., i+B/2.
     half = F.floor(F.col("_blocks") / 2).cast("int")
     partners = F.filter(
@@ -140,11 +141,14 @@ def scan_pairs(df: DataFrame, kernel: Kernel, schema: str, by: Sequence[str] = (
             F.pmod(F.col("_block") + s, F.col("_blocks")))), lambda p: p.isNotNull())
     left = left.withColumn("_partner", F.explode(partners))
     total = -(-largest // block_rows)
-    left = left.repartition(min(int(total), 4000), *by, "_partner")
+    # Structs compare null fields as equal, so a null group meets itself.
+    group = ["_g"] if by else []
+    left = left.withColumns({"_g": F.struct(*by)} if by else {}).repartition(int(total), *group, "_partner")
     right = _packed(rows, keys, id_col, features, extra, "r").withColumnsRenamed(
-        {"_block": "_partner"}).drop("_blocks")
-    pairs = left.join(right, [*by, "_partner"]).withColumn("same", F.col("_block") == F.col("_partner"))
-    return _run(attach_params(pairs, params, by), by, extra, extra, names, kernel, schema, True)
+        {"_block": "_partner"})
+    right = right.withColumns({"_g": F.struct(*by)} if by else {}).drop(*by, "_blocks")
+    pairs = left.join(right, [*group, "_partner"]).drop(*group).withColumn("same", F.col("_block") == F.col("_partner"))
+    return _run(pairs, by, extra, extra, names, kernel, schema, True)
 
 
 def scan_cross(left: DataFrame, right: DataFrame, kernel: Kernel, schema: str,
@@ -167,6 +171,13 @@ def scan_cross(left: DataFrame, right: DataFrame, kernel: Kernel, schema: str,
     ls, n_left = blocked(left, "l", list(extra_left))
     rs, n_right = blocked(right, "r", list(extra_right))
     ls = ls.withColumn("_rblock", F.explode(F.sequence(F.lit(0), F.lit(n_right - 1))))
-    ls = ls.repartition(min(max(n_left, n_right) * 2, 4000), *by, "_rblock", "_lblock")
-    pairs = ls.join(rs, [*by, "_rblock"]).withColumn("same", F.lit(False))
+    group = ["_g"] if by else []
+    if by:
+        ls, rs = ls.withColumn("_g", F.struct(*by)), rs.withColumn("_g", F.struct(*by)).drop(*by)
+    if n_right >= n_left:
+        # One shuffle: the join finds the blocks where they are.
+        ls = ls.repartition(2 * n_right, *group, "_rblock")
+    else:
+        ls = ls.repartition(2 * n_left, *group, "_rblock", "_lblock")
+    pairs = ls.join(rs, [*group, "_rblock"]).drop(*group).withColumn("same", F.lit(False))
     return _run(pairs, by, list(extra_left), list(extra_right), [], kernel, schema, False)

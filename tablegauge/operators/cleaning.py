@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
+import warnings
 from collections.abc import Mapping, Sequence
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import StringType
 
 # Texts read as missing by default.
 DEFAULT_NA_TOKENS = (
@@ -79,7 +81,11 @@ def is_number(column: Column | str) -> Column:
 
 
 def cast_numeric(df: DataFrame, columns: Sequence[str]) -> DataFrame:
-    """Cast ``columns`` to DOUBLE; text that is no number becomes null."""
+    """Cast ``columns`` to DOUBLE; text that is no number becomes null, with a warning."""
+    text = [c for c in columns if isinstance(df.schema[c].dataType, StringType)]
+    lost = {r["column"]: r["n_text"] for r in cast_report(df, text).collect() if r["n_text"]} if text else {}
+    if lost:
+        warnings.warn(f"values that are no numbers became null: {lost}", stacklevel=2)
     casts = {c: F.col(c).try_cast("double") for c in columns}
     return df.withColumns(casts)
 

@@ -6,6 +6,7 @@ The functions below see one bag of at most a few thousand rows; everything acros
 
 from __future__ import annotations
 
+import functools
 from collections.abc import Sequence
 
 import numpy as np
@@ -14,10 +15,10 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from tablegauge.operators.blocks import distances, group_extent
-from tablegauge.session import spread
+from tablegauge.operators.blocks import distances, group_extent, group_sizes
+from tablegauge.session import match_groups, materialize, spread
 
-#: Most rows of a group that one task clusters; larger groups need the whole-table operators.
+#: Most rows of a group that one task clusters; larger groups go through the whole-table operators.
 MAX_GROUP_ROWS = 5_000
 
 # Defaults of the density-based clustering and of the kernel width.
@@ -192,7 +193,7 @@ def cluster_groups(df: DataFrame, algorithms: Sequence[str] = tuple(ALGORITHMS),
 
     ``n_clusters`` is a number, ``'n_classes'`` (distinct labels of the group) or the name
     of a column.  Features come back standardised within the group.  Groups beyond
-    :data:`MAX_GROUP_ROWS` raise an error: use the whole-table operators for them.
+    :data:`MAX_GROUP_ROWS` are clustered one by one as whole tables; there can be few of them.
     """
     by, algorithms = list(by), list(algorithms)
     unknown = [a for a in algorithms if a not in ALGORITHMS]
@@ -203,8 +204,9 @@ def cluster_groups(df: DataFrame, algorithms: Sequence[str] = tuple(ALGORITHMS),
     if n_clusters == "n_classes" and label not in df.columns:
         raise ValueError("the number of classes is unknown without a label")
     n_groups, largest = group_extent(df, by)
+    large = None
     if largest > MAX_GROUP_ROWS:
-        raise ValueError(f"a group has {largest} rows, more than the {MAX_GROUP_ROWS} of one task")
+        large = materialize(group_sizes(df, by).where(F.col("_n") > MAX_GROUP_ROWS))
     schema = T.StructType([*df.schema.fields, *[T.StructField(a, T.IntegerType()) for a in algorithms]])
 
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
@@ -219,7 +221,30 @@ def cluster_groups(df: DataFrame, algorithms: Sequence[str] = tuple(ALGORITHMS),
             k = int(pdf[n_clusters].iloc[0]) if isinstance(n_clusters, str) else int(n_clusters)
         return pdf.assign(**{a: ALGORITHMS[a](x, k, seed) for a in algorithms})
 
-    return spread(df, by, n_groups).groupBy(*by).applyInPandas(run, schema)
+    if large is None:
+        return spread(df, by, n_groups).groupBy(*by).applyInPandas(run, schema)
+    small = match_groups(df, large.drop("_n"), by, "left_anti")
+    result = spread(small, by, n_groups).groupBy(*by).applyInPandas(run, schema)
+    for key in large.drop("_n").toLocalIterator():
+        same = functools.reduce(lambda a, b: a & b, [F.col(c).eqNullSafe(F.lit(key[c])) for c in by])
+        whole = _as_table(df.where(same), algorithms, n_clusters, features, label, standardize, seed)
+        result = result.unionByName(whole.select(*df.columns, *algorithms))
+    return result
+
+
+def _as_table(rows: DataFrame, algorithms: Sequence[str], n_clusters: int | str, features: str, label: str,
+              standardize: bool, seed: int) -> DataFrame:
+    """One large group by the whole-table clusterings."""
+    from tablegauge.operators.clustering.whole import cluster_table
+    from tablegauge.operators.ranking import number_rows
+
+    if isinstance(n_clusters, str):
+        wanted = F.count_distinct(label) if n_clusters == "n_classes" else F.max(n_clusters)
+        n_clusters = int(rows.agg(wanted).first()[0])
+    numbered = rows if "row_id" in rows.columns else number_rows(rows)
+    numbered = numbered.withColumnRenamed(features, "features")
+    found = cluster_table(numbered, n_clusters, algorithms, standardize=standardize, seed=seed)
+    return found.withColumnRenamed("features", features)
 
 
 def long_clusters(df: DataFrame, algorithms: Sequence[str], columns: Sequence[str]) -> DataFrame:

@@ -13,7 +13,7 @@ from tablegauge.operators.clustering.groups import cluster_groups
 
 
 def fit_kmeans(df: DataFrame, k: int, features: str = "features", seed: int = 42,
-               n_init: int = 3, max_iter: int = 300, tol: float = 1e-4):
+               n_init: int = 10, max_iter: int = 300, tol: float = 1e-4):
     """The cheapest of ``n_init`` fits; its summary holds sizes and cost."""
     rows = df.select(as_vector(features).alias("features")).persist()
     try:
@@ -24,7 +24,7 @@ def fit_kmeans(df: DataFrame, k: int, features: str = "features", seed: int = 42
 
 
 def kmeans(df: DataFrame, k: int | None, features: str = "features", row_id: str = "row_id",
-           by: Sequence[str] = (), seed: int = 42, n_init: int = 3,
+           by: Sequence[str] = (), seed: int = 42, n_init: int = 10,
            n_clusters_col: str | None = None) -> DataFrame:
     """``df`` with a ``cluster`` column; with ``by``, every (small) group is clustered alone."""
     if by:

@@ -37,12 +37,12 @@ def resolve_roots(links: DataFrame) -> DataFrame:
     for _ in range(MAX_ROUNDS):
         active = table.where(~F.col("done"))
         if active.isEmpty():
-            break
+            return table.select("node", F.col("parent").alias("root"))
         up = table.select(F.col("node").alias("_n"), F.col("parent").alias("_p"), F.col("done").alias("_d"))
         moved = active.join(up, active["parent"] == up["_n"], "left").select(
             "node", F.coalesce("_p", "parent").alias("parent"), F.coalesce("_d", F.lit(True)).alias("done"))
         table = materialize(table.where("done").unionByName(moved))
-    return table.select("node", F.col("parent").alias("root"))
+    raise RuntimeError("the parent pointers hold a cycle")
 
 
 def hook(best: DataFrame) -> DataFrame:

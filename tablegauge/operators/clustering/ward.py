@@ -3,11 +3,13 @@
 Ward's cost is reducible: two clusters that are each other's cheapest partner will be
 merged whatever happens elsewhere, so all such pairs may merge at once.  A round is one
 block scan over the remaining clusters (size and centroid are all the cost needs) and one
-aggregation; the last few thousand clusters are finished in memory.
+aggregation; the last few dozen clusters are finished in memory.
 """
 
 from __future__ import annotations
 
+import itertools
+
 import numpy as np
 import pandas as pd
 from pyspark.ml.functions import vector_to_array
@@ -18,11 +20,11 @@ from pyspark.sql import functions as F
 from tablegauge.functions.vectors import as_vector
 from tablegauge.operators.blocks import BLOCK_ROWS, Block, distances, scan_pairs
 from tablegauge.operators.clustering.groups import ward_merges
-from tablegauge.operators.clustering.links import MAX_ROUNDS, resolve_roots, row_minimum
+from tablegauge.operators.clustering.links import resolve_roots, row_minimum
 from tablegauge.session import materialize
 
 #: Clusters that are merged in memory at the end.
-FINISH_NODES = 2048
+FINISH_NODES = 64
 
 
 def _cheapest_kernel(left: Block, right: Block, same: bool) -> pd.DataFrame:
@@ -65,7 +67,8 @@ def ward_tree(df: DataFrame, finish: int = FINISH_NODES, block_rows: int = BLOCK
     """(merges of the distributed rounds, merges of the end): child, parent, height, step."""
     nodes = materialize(df.select("row_id", "features", F.lit(1.0).alias("size"), F.lit(0.0).alias("peak")))
     merges = df.sparkSession.createDataFrame([], "child bigint, parent bigint, height double, step bigint")
-    for step in range(MAX_ROUNDS * 4):
+    # Every round merges the cheapest pair of all at least, so the loop ends.
+    for step in itertools.count():
         if nodes.count() <= finish:
             break
         merged = _merge_round(nodes, block_rows)
@@ -73,7 +76,7 @@ def ward_tree(df: DataFrame, finish: int = FINISH_NODES, block_rows: int = BLOCK
             "child", F.col("row_id").alias("parent"), F.col("peak").alias("height"),
             F.lit(step).cast("bigint").alias("step")))
         nodes = merged.drop("child")
-    last = nodes.orderBy("row_id").limit(finish).collect()  # bounded by the loop above
+    last = nodes.orderBy("row_id").collect()  # at most ``finish`` rows
     x, peak = np.array([r["features"] for r in last], dtype=float), np.array([r["peak"] for r in last])
     tail = []
     for number, (height, a, b) in enumerate(ward_merges(x, np.array([r["size"] for r in last]))):

@@ -5,17 +5,15 @@ from __future__ import annotations
 import warnings
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from tablegauge.functions.numbers import nominal_limit, nominal_limit_column
+from tablegauge.functions.numbers import nominal_limit_column
 from tablegauge.operators.ranking import global_rank
 from tablegauge.session import broadcast_if_small, materialize
 from tablegauge.table import Table
 
-#: Distinct values of one column that a single task may rank.
-WINDOW_CODES = 1_000_000
 #: Dummy columns one table may get; more belong in a sparse vector.
 MAX_DUMMY_COLUMNS = 5_000
 
@@ -42,18 +40,13 @@ def distinct_counts(df: DataFrame, columns: Sequence[str]) -> DataFrame:
 def infer_nominal(df: DataFrame, columns: Sequence[str]) -> tuple[list[str], list[str]]:
     """Split the string columns into (nominal, to drop) by the distinct-value limit.
 
-    A cheap approximate pass settles the columns that are far over the limit, exact
-    counts settle the rest.
+    All counts are exact: the distinct values are counted once, for all columns together.
     """
     names = string_columns(df, columns)
     if not names:
         return [], []
-    sketch = df.agg(F.count(F.lit(1)).alias("_n"),
-                    *[F.approx_count_distinct(c, 0.02).alias(c) for c in names]).first()
-    limit = nominal_limit(sketch["_n"])
-    near = [c for c in names if sketch[c] <= 1.2 * limit + 10]
-    exact = {r["column"]: r["n_distinct"] for r in distinct_counts(df, near).collect()} if near else {}
-    nominal = [c for c in names if c in exact and exact[c] <= limit]
+    kept = {r["column"] for r in distinct_counts(df, names).where("is_nominal").collect()}
+    nominal = [c for c in names if c in kept]
     return nominal, [c for c in names if c not in nominal]
 
 
@@ -70,9 +63,7 @@ def category_codes(values: DataFrame, column: str, dtype: T.DataType) -> DataFra
     ``values`` comes from :func:`distinct_values`; numbers rank as numbers.
     """
     own = values.where(F.col("column") == column).withColumn("value", F.col("category").cast(dtype))
-    if own.limit(WINDOW_CODES + 1).count() > WINDOW_CODES:
-        return global_rank(own, ["value"], "code")
-    return own.withColumn("code", (F.row_number().over(Window.orderBy("value")) - 1).cast("bigint"))
+    return global_rank(own, ["value"], "code")
 
 
 def label_encode(df: DataFrame, columns: Sequence[str]) -> tuple[DataFrame, DataFrame | None]:

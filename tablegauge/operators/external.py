@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from tablegauge.functions.numbers import log_gamma
 from tablegauge.operators.contingency import contingency, pair_confusion, summarize
-from tablegauge.session import fold
+from tablegauge.session import fold, match_groups
 
 #: Entropies below this are rounding noise around zero.
 ZERO_ENTROPY = 1e-12
@@ -122,7 +122,7 @@ def agreement_summary(df: DataFrame, class_col: str, cluster_col: str, by: Seque
         return summary
     expected = expected_mutual_info(cells, by)
     if by:
-        return summary.join(expected, by)
+        return match_groups(summary, expected, by)
     return fold([summary, expected])
 
 

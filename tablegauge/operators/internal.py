@@ -13,7 +13,7 @@ from tablegauge.operators.blocks import BLOCK_ROWS, Block, distances, scan_pairs
 from tablegauge.operators.moments import (
     cluster_dispersion, cluster_moments, global_means, matrix_stats, moment_sums)
 from tablegauge.operators.pairs import PAIR_INDICES, pair_indices
-from tablegauge.session import fold, materialize
+from tablegauge.session import fold, match_groups, materialize
 
 #: Fixed value: what replaces a ratio with a non-positive determinant.
 INSIGNIFICANT = 1e-20
@@ -102,7 +102,7 @@ def centroid_stats(df: DataFrame, moments: DataFrame, features: str, cluster: st
         F.sum("mean_to_centroid").alias("within_sum"))
     apart = centroid_distances(dispersion, by)
     if by:
-        return sums.join(apart, by)
+        return match_groups(sums, apart, by)
     return fold([sums, apart])
 
 
@@ -120,7 +120,7 @@ def hartigan(df: DataFrame, moments: DataFrame, features: str = "features",
     sums = moment_sums(moments, by).select(*by, "n", "k", "wgss")
     if by:
         wanted = sums.select(*by, (F.col("k") + 1).cast("int").alias("n_clusters"))
-        rows = df.select(*by, row_id, features).join(wanted, by)
+        rows = match_groups(df.select(*by, row_id, features), wanted, by)
     else:
         rows = df.select(row_id, features)
     k = None if by else int(sums.first()["k"]) + 1
@@ -131,7 +131,7 @@ def hartigan(df: DataFrame, moments: DataFrame, features: str = "features",
     shift = F.aggregate("centroid", F.lit(0.0), lambda acc, v: acc + (v - cells) * (v - cells))
     part = F.col("wgss") + (F.col("size") * shift if reference_mean else F.lit(0.0))
     dispersion = fresh.groupBy(*by).agg(F.sum(part).alias("d"))
-    both = sums.join(dispersion, by) if by else fold([sums, dispersion])
+    both = match_groups(sums, dispersion, by) if by else fold([sums, dispersion])
     return both.select(*by, F.expr("try_divide((n - k - 1) * (wgss - d), d)").alias("Hartigan"))
 
 

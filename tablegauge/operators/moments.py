@@ -14,7 +14,7 @@ from pyspark.sql import types as T
 
 from tablegauge.functions.vectors import as_vector, euclidean_distance
 from tablegauge.operators.blocks import attach_params
-from tablegauge.session import broadcast_if_small
+from tablegauge.session import broadcast_if_small, match_groups
 
 #: Group accumulators one task keeps before it emits them.
 MAX_ACCUMULATORS = 256
@@ -162,7 +162,7 @@ def scatter_matrices(df: DataFrame, features: str = "features", cluster: str = "
     by = list(by)
     sums = scatter_rows(df, global_means(df, by, features), features, cluster, by)
     totals = sums.where("i = -1").select(*by, "cluster", F.col("row").alias("total"), "size")
-    joined = sums.where("i >= 0").drop("size").join(totals, [*by, "cluster"])
+    joined = match_groups(sums.where("i >= 0").drop("size"), totals, [*by, "cluster"])
     # W = X'X - s s' / n, with s the sum of the centred rows.
     corrected = F.zip_with("row", "total", lambda v, t: v - F.get("total", F.col("i")) * t / F.col("size"))
     return joined.select(*by, "cluster", "i", corrected.alias("row"))

@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from tablegauge.operators.blocks import BLOCK_ROWS, Block, distances, group_extent, scan_pairs
-from tablegauge.session import fold, materialize
+from tablegauge.session import fold, match_groups, materialize
 
 PAIR_INDICES = ("Silhouette", "C", "Dunn")
 #: Buckets of one distance histogram, and how often a boundary bucket may be split again.
@@ -176,7 +176,7 @@ def _scanned_indices(rows: DataFrame, by: list[str], block_rows: int, names: Seq
         return fold(parts)
     result = parts[0]
     for part in parts[1:]:
-        result = result.join(part, by)
+        result = match_groups(result, part, by)
     return result
 
 
@@ -227,7 +227,7 @@ def _c_index(rows: DataFrame, partial: DataFrame, by: list[str], block_rows: int
     sums = []
     for split in range(MAX_SPLITS + 1):
         buckets = partial.where("kind in ('small', 'large')").drop("own", "other")
-        joined = buckets.join(sides, [*by, "kind"])
+        joined = match_groups(buckets, sides, [*by, "kind"])
         before = Window.partitionBy(*by, "kind").orderBy("id").rowsBetween(Window.unboundedPreceding, -1)
         ranked = materialize(joined.withColumn("seen", F.coalesce(F.sum("n").over(before), F.lit(0)))
                              .where(F.col("seen") < F.col("need"))
@@ -254,6 +254,6 @@ def _c_index(rows: DataFrame, partial: DataFrame, by: list[str], block_rows: int
     ends = all_sums.groupBy(*by).agg(
         F.sum(F.when(F.col("kind") == "small", F.col("taken"))).alias("least"),
         F.sum(F.when(F.col("kind") == "large", F.col("taken"))).alias("most"))
-    both = within.select(*by, "within").join(ends, by) if by else fold([within.select("within"), ends])
+    both = match_groups(within.select(*by, "within"), ends, by) if by else fold([within.select("within"), ends])
     return both.select(*by, F.try_divide(F.col("within") - F.col("least"),
                                          F.col("most") - F.col("least")).alias("C"))

@@ -18,7 +18,6 @@ from tablegauge.session import broadcast_if_small, materialize
 
 #: Rows a bucket should hold on average.
 BUCKET_ROWS = 50_000
-MAX_PREFIX = 5
 
 
 def hash_order(seed: int | str, row_id: Column | str) -> Column:
@@ -31,7 +30,7 @@ def prefix_length(n_rows: int, bucket_rows: int = BUCKET_ROWS) -> int:
     """Hex digits needed to keep buckets near ``bucket_rows`` rows."""
     if n_rows <= bucket_rows:
         return 0
-    return min(MAX_PREFIX, math.ceil(math.log(n_rows / bucket_rows, 16)))
+    return math.ceil(math.log(n_rows / bucket_rows, 16))
 
 
 def hash_rank(df: DataFrame, group: Sequence[str], row_id: str, seed: int | str,

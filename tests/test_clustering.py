@@ -119,3 +119,24 @@ def test_long_chains_of_links(spark):
     edges = spark.range(1, 200).where("id != 100").select(F.col("id").alias("a"), (F.col("id") - 1).alias("b"))
     comps = tree_components(spark.range(200).withColumnRenamed("id", "row_id"), edges)
     assert sorted(r["count"] for r in comps.groupBy("comp").count().collect()) == [100, 100]
+
+
+def test_large_groups_are_clustered_as_tables(spark, monkeypatch):
+    from tablegauge.operators.clustering import groups
+
+    rng = np.random.default_rng(3)
+    x = np.vstack([rng.normal(c, 0.2, size=(30, 2)) for c in ((0, 0), (9, 9))])
+    rows = [(g, 100 * (g or 0) + i, [float(v) for v in p], i // 30) for g in (1, None) for i, p in enumerate(x)]
+    rows += [(2, 1000 + i, [float(i % 2 * 9), float(i)], i % 2) for i in range(20)]
+    df = spark.createDataFrame(rows, "bag_id int, row_id bigint, features array<double>, label int")
+    names = ["kmeans", "hierarchical"]
+    want = cluster_groups(df, names).collect()
+    monkeypatch.setattr(groups, "MAX_GROUP_ROWS", 40)
+    got = cluster_groups(df, names)
+    assert got.columns == [*df.columns, *names]
+    got = got.collect()
+    for name in names:
+        for bag in (1, 2, None):
+            a, b = ({r["row_id"]: r[name] for r in rs if r["bag_id"] == bag} for rs in (want, got))
+            assert a.keys() == b.keys() and len(a) in (20, 60)
+            assert same_partition(np.array([a[i] for i in sorted(a)]), np.array([b[i] for i in sorted(a)]))
