@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
+import functools
 import pathlib
 import tempfile
 import uuid
+from collections.abc import Sequence
 import zipfile
 
 from pyspark.sql import DataFrame, SparkSession
@@ -14,19 +16,53 @@ from pyspark.sql import functions as F
 BROADCAST_CELL_LIMIT = 2_000_000
 
 
+def fallback_folder(master: str, warehouse: str) -> str:
+    """Where intermediate tables go if no folder is named: beside the warehouse.
+
+    On a cluster a local path is refused: each executor would write to a disk of its own.
+    """
+    local = master.split("[")[0] == "local"
+    if not local and (warehouse.startswith("file:") or "://" not in warehouse):
+        raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
+    return f"{warehouse.rstrip('/')}/_scratch"
+
+
 def ensure_checkpoint_dir(spark: SparkSession) -> str:
-    """The folder the cluster names in ``spark.checkpoint.dir``; a local one only if unset."""
-    current = spark.sparkContext.getCheckpointDir()
-    if current:
-        return current
-    named = spark.conf.get("spark.checkpoint.dir", None)
-    spark.sparkContext.setCheckpointDir(named or tempfile.mkdtemp(prefix="tablegauge-"))
-    return spark.sparkContext.getCheckpointDir()
+    """The folder that ``spark.checkpoint.dir`` names, else one under the warehouse."""
+    context = spark.sparkContext
+    if not context.getCheckpointDir():
+        named = spark.conf.get("spark.checkpoint.dir", None)
+        context.setCheckpointDir(named or fallback_folder(context.master, spark.conf.get("spark.sql.warehouse.dir")))
+    return context.getCheckpointDir()
+
+
+def _scratch_root(spark: SparkSession) -> str:
+    return f"{ensure_checkpoint_dir(spark)}/tablegauge/{spark.sparkContext.applicationId}"
+
+
+def _file_system(spark: SparkSession, path: str):
+    path = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return path.getFileSystem(spark._jsc.hadoopConfiguration()), path
+
+
+_OWNED: set[str] = set()
 
 
 def scratch_path(spark: SparkSession, name: str = "table") -> str:
-    """A fresh path in the shared checkpoint folder."""
-    return f"{ensure_checkpoint_dir(spark)}/tablegauge/{name}-{uuid.uuid4().hex}"
+    """A fresh path in the application's part of the shared folder, which goes when the application ends."""
+    root = _scratch_root(spark)
+    if root not in _OWNED:
+        system, path = _file_system(spark, root)
+        system.mkdirs(path)
+        system.deleteOnExit(path)
+        _OWNED.add(root)
+    return f"{root}/{name}-{uuid.uuid4().hex}"
+
+
+def drop_scratch(spark: SparkSession) -> None:
+    """Delete all intermediate tables of this application; results that still read them must be written before."""
+    system, path = _file_system(spark, _scratch_root(spark))
+    system.delete(path, True)
 
 
 def materialize(df: DataFrame) -> DataFrame:
@@ -64,6 +100,13 @@ def spread(df: DataFrame, keys: list[str], n_groups: int, groups_per_task: int =
     return df.repartition(max(1, min(n_groups, wanted)), *keys)
 
 
+def match_groups(left: DataFrame, right: DataFrame, keys: Sequence[str], how: str = "inner") -> DataFrame:
+    """Join on ``keys``, a null equal to a null; the key columns are those of ``left``."""
+    renamed = right.withColumnsRenamed({k: f"_right_{k}" for k in keys})
+    same = functools.reduce(lambda a, b: a & b, [F.col(k).eqNullSafe(F.col(f"_right_{k}")) for k in keys])
+    return left.join(renamed, same, how).drop(*[f"_right_{k}" for k in keys])
+
+
 def fold(single_rows: list[DataFrame]) -> DataFrame:
     """Put one-row results side by side without a join."""
     names = list(dict.fromkeys(c for df in single_rows for c in df.columns))

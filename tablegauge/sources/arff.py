@@ -10,6 +10,9 @@ from pyspark.sql import functions as F
 
 from tablegauge.operators.cleaning import drop_missing
 from tablegauge.operators.encoding import encode
+from tablegauge.session import broadcast_if_small
+from tablegauge.sources.csv import BAD_ROW, refuse
+from tablegauge.sources.lines import numbered_lines
 from tablegauge.table import Table
 
 # Attribute types that hold numbers.
@@ -36,23 +39,41 @@ def parse_attributes(lines: Sequence[str]) -> list[tuple[str, str]]:
 
 
 def read_arff_columns(spark: SparkSession, path: str) -> tuple[DataFrame, list[tuple[str, str]]]:
-    """(data with ``?`` as null, attributes); only the attribute lines reach the driver."""
-    lines = spark.read.text(path)
-    tagged = lines.where(F.lower(F.ltrim("value")).startswith("@attribute"))
-    # The scan keeps file order within a header, which is at the head of the first block.
-    attributes = parse_attributes([r["value"] for r in tagged.collect()])
-    text = F.ltrim(F.col("value"))
-    data = lines.where(~text.startswith("%") & ~text.startswith("@") & (text != ""))
-    schema = ", ".join(f"a{i} string" for i in range(len(attributes)))
-    parsed = data.select(F.from_csv("value", schema, {
-        "sep": ",", "quote": "'", "ignoreLeadingWhiteSpace": "true",
-        "ignoreTrailingWhiteSpace": "true"}).alias("r"))
-    columns = []
+    """(data with ``?`` as null, attributes); only header lines reach the driver.
+
+    Every file under ``path`` has a header of its own, ended by its first ``@data`` line; all
+    must state the attributes of the first.  What follows ``@data`` is data, whatever it starts
+    with.  A row with another number of fields, or a text in a numeric attribute, fails the job.
+    """
+    lines = numbered_lines(spark, path, per_file=True)
+    text = F.lower(F.ltrim("value"))
+    # One row per file: where its data begin.
+    starts = lines.where(text.startswith("@data")).groupBy("file").agg(F.min("line_no").alias("data_line"))
+    placed = lines.join(broadcast_if_small(starts, 2), "file")
+    header = placed.where((F.col("line_no") < F.col("data_line")) & text.startswith("@attribute"))
+    headers = header.groupBy("file").agg(F.transform(
+        F.array_sort(F.collect_list(F.struct("line_no", "value"))), lambda x: x["value"]).alias("lines"))
+    found = headers.select("lines").distinct().limit(2).collect()
+    if not found:
+        raise ValueError("the file has no attributes or no data section")
+    attributes = parse_attributes(found[0]["lines"])
+    if len(found) > 1 and parse_attributes(found[1]["lines"]) != attributes:
+        raise ValueError("the files have different attributes")
+    data = placed.where((F.col("line_no") > F.col("data_line")) & ~text.startswith("%") & (F.trim("value") != ""))
+    schema = ", ".join([*(f"a{i} string" for i in range(len(attributes))), f"{BAD_ROW} string"])
+    parsed = data.select("value", "line_no", "data_line", F.from_csv("value", schema, {
+        "sep": ",", "quote": "'", "ignoreLeadingWhiteSpace": "true", "ignoreTrailingWhiteSpace": "true",
+        "columnNameOfCorruptRecord": BAD_ROW}).alias("r"))
+    bad, columns = F.col(f"r.{BAD_ROW}").isNotNull(), []
     for i, (name, kind) in enumerate(attributes):
         raw = F.col(f"r.a{i}")
         value = F.when(raw != "?", raw)
-        columns.append((value.try_cast("double") if kind == "numeric" else value).alias(name))
-    return parsed.select(*columns), attributes
+        if kind == "numeric":
+            bad = bad | (value.isNotNull() & value.try_cast("double").isNull())
+            value = value.try_cast("double")
+        columns.append(value.alias(name))
+    # Ties the check to the line number, so that it is not made on header lines.
+    return refuse(parsed, (F.col("line_no") > F.col("data_line")) & bad, F.col("value")).select(*columns), attributes
 
 
 def read_arff(spark: SparkSession, path: str, target_attr: str | None = "class",

@@ -4,8 +4,9 @@ from __future__ import annotations
 
 from collections.abc import Mapping, Sequence
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from tablegauge.operators.cleaning import drop_missing, is_number, na_to_null, project, split_target
 from tablegauge.operators.encoding import encode
@@ -13,6 +14,13 @@ from tablegauge.sources.lines import drop_comments, first_lines, numbered_lines,
 from tablegauge.table import Table
 
 WHITESPACE = r"\s+"
+BAD_ROW = "_bad_row"
+
+
+def refuse(df: DataFrame, bad: Column, line: Column) -> DataFrame:
+    """``df``; reading a row for which ``bad`` holds fails and names its ``line``."""
+    message = F.concat(F.lit("malformed row: "), F.coalesce(line, F.lit("")))
+    return df.where(F.when(bad, F.raise_error(message).cast("boolean")).otherwise(True))
 
 
 def read_csv_columns(spark: SparkSession, path: str, sep: str = ",",
@@ -22,7 +30,8 @@ def read_csv_columns(spark: SparkSession, path: str, sep: str = ",",
 
     ``sep`` may be a regular expression (more than one character).  Plain layouts go
     through the built-in reader; shifted headers, skips, limits and regular expressions
-    go through numbered lines.  Quoted line breaks are not supported.
+    go through numbered lines.  Quoted line breaks are not supported.  A row with more or
+    fewer fields than the first one fails the job that reads it.
     """
     regex = len(sep) > 1
     plain = not regex and skiprows is None and nrows is None and header_row in (None, 0)
@@ -31,20 +40,26 @@ def read_csv_columns(spark: SparkSession, path: str, sep: str = ",",
                    "ignoreLeadingWhiteSpace": True, "mode": "PERMISSIVE", "enforceSchema": False}
         if comment:
             options["comment"] = comment
-        df = spark.read.options(**options).csv(path)
+        names = [c.strip() for c in spark.read.options(**options).csv(path).columns]
         if header_row is None:
-            df = df.toDF(*[f"c{i}" for i in range(len(df.columns))])
-        return df.toDF(*[c.strip() for c in df.columns])
+            names = [f"c{i}" for i in range(len(names))]
+        schema = T.StructType([T.StructField(c, T.StringType()) for c in [*(f"c{i}" for i in range(len(names))), BAD_ROW]])
+        options |= {"columnNameOfCorruptRecord": BAD_ROW, "enforceSchema": True}
+        df = spark.read.options(**options).schema(schema).csv(path)
+        return refuse(df, F.col(BAD_ROW).isNotNull(), F.col(BAD_ROW)).drop(BAD_ROW).toDF(*names)
 
     lines = drop_comments(skip_lines(numbered_lines(spark, path), skiprows), comment)
     first, data = split_header(lines, header_row)
     data = first_lines(data, nrows)
 
+    # Ties the check to the line number, so that it is not made before lines are skipped.
+    placed = F.col("line_no") >= 0
     sample = spark.range(1).select(F.lit(first).alias("value"))
     if regex:
         text = F.trim("value") if sep == WHITESPACE else F.col("value")
         row = F.split(text, sep)
         names = [v.strip() for v in sample.select(row).first()[0]]
+        data = refuse(data, placed & (F.size(row) != len(names)), F.col("value"))
         columns = [F.ltrim(F.get(row, F.lit(i))) for i in range(len(names))]
     else:
         options = {"sep": sep, "ignoreLeadingWhiteSpace": "true"}
@@ -54,8 +69,9 @@ def read_csv_columns(spark: SparkSession, path: str, sep: str = ",",
         names = list(sample.select(F.from_csv("value", schema, options).alias("r")).select("r.*").first())
         while '"' in first and names[-1] is None:
             names.pop()  # separators inside quotes were counted as well
-        schema = ", ".join(f"c{i} string" for i in range(len(names)))
-        data = data.withColumn("_r", F.from_csv("value", schema, options))
+        schema = ", ".join([*(f"c{i} string" for i in range(len(names))), f"{BAD_ROW} string"])
+        data = data.withColumn("_r", F.from_csv("value", schema, options | {"columnNameOfCorruptRecord": BAD_ROW}))
+        data = refuse(data, placed & F.col("_r").getField(BAD_ROW).isNotNull(), F.col("value"))
         columns = [F.col("_r").getField(f"c{i}") for i in range(len(names))]
         names = [(v or f"c{i}").strip() for i, v in enumerate(names)]
     if header_row is None:

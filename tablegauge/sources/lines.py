@@ -10,9 +10,11 @@ from pyspark.sql import functions as F
 from tablegauge.session import broadcast_if_small
 
 
-def numbered_lines(spark: SparkSession, path: str) -> DataFrame:
+def numbered_lines(spark: SparkSession, path: str, per_file: bool = False) -> DataFrame:
     """``(value, line_no)`` of the files under ``path``; 0-based over the files in path order.
 
+    ``per_file`` numbers each file alone and adds its ``file``.
+
     The place of a line inside its file block comes from the reader; one counting pass
     over the blocks gives the offset of each block.  No line leaves the JVM.
     """
@@ -21,11 +23,13 @@ def numbered_lines(spark: SparkSession, path: str) -> DataFrame:
                      F.col("_metadata.file_block_start").alias("_s"),
                      F.monotonically_increasing_id().alias("_m")))
     blocks = lines.groupBy("_f", "_s").agg(F.min("_m").alias("_first"), F.count(F.lit(1)).alias("_n"))
-    before = Window.orderBy("_f", "_s").rowsBetween(Window.unboundedPreceding, -1)
+    order = Window.partitionBy("_f").orderBy("_s") if per_file else Window.orderBy("_f", "_s")
+    before = order.rowsBetween(Window.unboundedPreceding, -1)
     # One row per file block.
     offsets = blocks.select("_f", "_s", "_first", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_o"))
     return (lines.join(broadcast_if_small(offsets, 4), ["_f", "_s"])
-            .select("value", (F.col("_o") + F.col("_m") - F.col("_first")).alias("line_no")))
+            .select("value", (F.col("_o") + F.col("_m") - F.col("_first")).alias("line_no"),
+                    *([F.col("_f").alias("file")] if per_file else [])))
 
 
 def skip_lines(lines: DataFrame, skiprows: int | Sequence[int] | None) -> DataFrame:

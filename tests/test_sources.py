@@ -144,3 +144,28 @@ def test_nested_features(spark):
     with pytest.raises(ValueError):
         memory.load_data(spark.createDataFrame([([1.0],), ([1.0, 2.0],)], "features array<double>"))
     assert memory.is_class_label(rows.withColumn("label", F.lit(1)))
+
+
+def test_ragged_rows_fail(spark, tmp_path):
+    from tablegauge.sources import csv
+
+    (tmp_path / "r.csv").write_text("1,2,y\n1,2,3,n\n4,5,n\n")
+    (tmp_path / "s.csv").write_text("1,2,y\n1,2\n")
+    (tmp_path / "t.csv").write_text("1 2 y\n1 2 3 n\n")
+    for name, options in (("r", {}), ("s", {}), ("r", {"nrows": 3}), ("t", {"sep": r"\s+"})):
+        with pytest.raises(Exception, match="malformed row"):
+            csv.read_csv_columns(spark, str(tmp_path / f"{name}.csv"), **options).collect()
+
+
+def test_arff_rows_may_start_with_a_sign(spark, tmp_path):
+    from tablegauge.sources import arff
+
+    head = "@relation r\n@attribute name string\n".replace("name string", "name {@b,c}") + "@attribute size real\n@attribute class {p,q}\n@data\n"
+    (tmp_path / "a.arff").write_text(head + "% note\n@b,2,p\nc,?,q\n")
+    (tmp_path / "b.arff").write_text(head + "c,7,q\n")
+    rows, attributes = arff.read_arff_columns(spark, str(tmp_path))
+    assert len(attributes) == 3
+    assert sorted((r["name"], r["size"]) for r in rows.collect() if r["size"]) == [("@b", 2.0), ("c", 7.0)]
+    (tmp_path / "bad.arff").write_text(head + "c,oops,q\n")
+    with pytest.raises(Exception, match="malformed row"):
+        arff.read_arff_columns(spark, str(tmp_path / "bad.arff"))[0].collect()
