@@ -21,8 +21,8 @@ SIDE, HASHES = 16, 3
 #: Equal minima, of all 2 * SIDE * HASHES, from which on a pair of a mixed bucket is compared on its
 #: full sets: a pair of similarity 0.8 has 77 +- 4 and falls below with chance 2e-6.
 LEAST_EQUAL = 58
-#: Rows of a bucket that meet in one piece, and rows of a task.
-CELL_ROWS, SHARD_ROWS = 2_000, 20_000
+#: Members of a key that meet in one piece, and rows of a task.
+CELL_ROWS, SHARD_ROWS = 2_000, 10_000
 CACHE_WORDS = 500_000
 _M1, _M2 = np.uint64(0xBF58476D1CE4E5B9), np.uint64(0x94D049BB133111EB)
 
@@ -100,48 +100,61 @@ def _sets(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         yield batch[["a", "b"]].assign(hashes=[shingles(t).view(np.int64) for t in batch["text"]])
 
 
+def _short_sets(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    """Sets with 16 bits of each hash: they never show fewer common values than the full sets."""
+    for batch in batches:
+        yield pd.DataFrame({"doc_id": batch["doc_id"], "short": [shingles(t).astype(np.uint16).tobytes() for t in batch["text"]]})
+
+
 def _alike(frame: pd.DataFrame) -> pd.DataFrame:
-    """Pairs of different components in the cells of a shard whose sketches are alike.
+    """Pairs of different components in the cells of a shard that may be similar.
 
-    A pair is taken in the first table only in which it meets: no earlier left key and no earlier
-    right key of the two agree.
+    A pair is taken under its first common left key only, if it has a common right key, enough
+    equal minima and, by the short sets, enough common shingles.
     """
     found = []
     frame = frame.sort_values(["cell", "doc_id"], ignore_index=True)
     ends = np.flatnonzero(np.append(frame["cell"].to_numpy()[1:] != frame["cell"].to_numpy()[:-1], True)) + 1
     minima = np.frombuffer(b"".join(frame["minima"]), dtype=np.uint16).reshape(len(frame), -1)
-    ids, parts, block, place = (frame[c].to_numpy() for c in ("doc_id", "component", "block", "place"))
-    diagonal, start = frame["diagonal"].to_numpy(), 0
+    short = [np.frombuffer(x, dtype=np.uint16) for x in frame["short"]]
+    size = np.array([len(x) for x in short])
+    ids, parts, block, key = (frame[c].to_numpy() for c in ("doc_id", "component", "block", "key"))
+    diagonal, start, present = frame["diagonal"].to_numpy(), 0, np.zeros(1 << 16, dtype=bool)
     for end in ends.tolist():
-        i, j = divmod(int(place[start]), 64)
-        step = max(1, 4_000_000 // ((end - start) * minima.shape[1]))
-        for at in range(start, end, step):
-            rows = slice(at, min(end, at + step))
-            apart = (parts[rows, None] != parts[None, start:end]) & (ids[rows, None] < ids[None, start:end])
+        place = int(key[start]) & 63
+        for x in range(start, end):
+            y = np.arange(x + 1, end)
+            y = y[(parts[y] != parts[x]) & (100 * np.minimum(size[y], size[x]) >= PERCENT * np.maximum(size[y], size[x]))]
             if not diagonal[start]:
-                apart &= block[rows, None] != block[None, start:end]
-            x, y = np.nonzero(apart)
-            equal = minima[x + at] == minima[y + start]
-            keys = equal.reshape(len(x), 2 * SIDE, HASHES).all(2)
-            take = (equal.sum(1) >= LEAST_EQUAL) & ~keys[:, :i].any(1) & ~keys[:, SIDE:j].any(1)
-            found.append(np.stack([ids[x + at][take], ids[y + start][take]], 1))
+                y = y[block[y] != block[x]]
+            if len(y):
+                equal = minima[y] == minima[x]
+                keys = equal.reshape(len(y), 2 * SIDE, HASHES).all(2)
+                y = y[(equal.sum(1) >= LEAST_EQUAL) & ~keys[:, :place].any(1) & keys[:, SIDE:].any(1)]
+            if len(y):
+                present[short[x]] = True
+                common = np.add.reduceat(present[np.concatenate([short[k] for k in y])].astype(np.int64),
+                                         np.concatenate([[0], np.cumsum(size[y])[:-1]]))
+                present[short[x]] = False
+                common = np.minimum(common, size[x])
+                y = y[100 * common >= PERCENT * (size[x] + size[y] - common)]
+                found.append(np.stack([np.full(len(y), ids[x]), ids[y]], 1))
         start = end
     pairs = np.concatenate(found) if found else np.zeros((0, 2), dtype=np.int64)
-    return pd.DataFrame({"a": pairs[:, 0], "b": pairs[:, 1]})
+    return pd.DataFrame({"a": pairs.min(1), "b": pairs.max(1)})
 
 
-def _cells(mixed: DataFrame, minima: DataFrame) -> DataFrame:
-    """Rows of mixed buckets, dealt into cells of bounded size in which every pair meets once.
+def _cells(members: DataFrame) -> DataFrame:
+    """Members of left keys, dealt into cells of bounded size in which every pair meets once.
 
-    A bucket of more than CELL_ROWS rows is dealt into blocks; each two blocks make a cell.
+    A key of more than CELL_ROWS members is dealt into blocks; each two blocks make a cell.
     """
-    sized = mixed.withColumn("blocks", F.ceil(F.col("n") / CELL_ROWS).cast("int"))
-    own = F.pmod(F.xxhash64("doc_id"), F.col("blocks")).cast("int")
-    dealt = (sized.withColumn("block", own)
+    counts = members.groupBy("key").agg(F.count(F.lit(1)).alias("n")).where("n > 1")
+    sized = members.join(counts, "key").withColumn("blocks", F.ceil(F.col("n") / CELL_ROWS).cast("int"))
+    dealt = (sized.withColumn("block", F.pmod(F.xxhash64("doc_id"), F.col("blocks")).cast("int"))
              .withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))))
-    return (dealt.withColumn("cell", F.xxhash64("bucket", F.least("block", "other"), F.greatest("block", "other")))
-            .withColumn("diagonal", F.col("block") == F.col("other")).join(minima, "doc_id")
-            .select("cell", "doc_id", "component", "block", "diagonal", "place", "minima"))
+    return (dealt.withColumn("cell", F.xxhash64("key", F.least("block", "other"), F.greatest("block", "other")))
+            .withColumn("diagonal", F.col("block") == F.col("other")).drop("n", "blocks", "other"))
 
 
 def _similar(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -192,7 +205,7 @@ def connected(edges: DataFrame) -> DataFrame:
 
 
 def _tables(half: DataFrame) -> DataFrame:
-    """``(bucket, place, doc_id)`` of all tables in which a set meets another: left key with right key.
+    """``(bucket, doc_id)`` of all tables in which a set meets another: left key with right key.
 
     Half keys that only one set has are dropped first, as no table with them can hold two.
     """
@@ -203,8 +216,7 @@ def _tables(half: DataFrame) -> DataFrame:
                                        F.collect_set(F.when(~is_left, F.col("key"))).alias("right"))
     all_ = (sides.select("doc_id", F.explode("left").alias("l"), "right")
             .select("doc_id", "l", F.explode("right").alias("r"))
-            .select(F.xxhash64("l", "r").alias("bucket"),
-                    (F.col("l").bitwiseAND(F.lit(63)) * 64 + F.col("r").bitwiseAND(F.lit(63))).cast("int").alias("place"), "doc_id"))
+            .select(F.xxhash64("l", "r").alias("bucket"), "doc_id"))
     shared = all_.groupBy("bucket").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("bucket")
     return all_.join(shared, "bucket", "left_semi")
 
@@ -212,14 +224,13 @@ def _tables(half: DataFrame) -> DataFrame:
 def _place(cells: DataFrame, parts: DataFrame) -> DataFrame:
     """``cells`` with the component of every document."""
     return (cells.join(parts.withColumnRenamed("node", "doc_id"), "doc_id", "left")
-            .select("bucket", "place", "doc_id", F.coalesce("component", "doc_id").alias("component")))
+            .select("bucket", "doc_id", F.coalesce("component", "doc_id").alias("component")))
 
 
 def _mixed(placed: DataFrame) -> DataFrame:
-    """The rows of buckets that hold several components, with the bucket's size ``n``."""
-    ends = placed.groupBy("bucket").agg(F.min("component").alias("lo"), F.max("component").alias("hi"),
-                                        F.count(F.lit(1)).alias("n")).where("lo < hi")
-    return placed.join(ends.select("bucket", "n"), "bucket")
+    """``(doc_id, component)`` of the members of buckets that hold several components."""
+    ends = placed.groupBy("bucket").agg(F.min("component").alias("lo"), F.max("component").alias("hi")).where("lo < hi")
+    return placed.join(ends.select("bucket"), "bucket", "left_semi").select("doc_id", "component").distinct()
 
 
 def near_duplicates(docs: DataFrame, id_column: str = "doc_id", text_column: str = "text") -> DataFrame:
@@ -232,8 +243,10 @@ def near_duplicates(docs: DataFrame, id_column: str = "doc_id", text_column: str
     2. Left and right keys are combined to tables.  Every set is compared with that first member
        of its buckets which it meets most often; confirmed links make components.
     3. First members and others of a bucket in different components are compared.
-    4. In buckets that still hold several components, members of different ones are compared by
-       their minima, inside the tasks; pairs that are alike are confirmed on the full sets.
+    4. The members of buckets that still hold several components meet under their left keys;
+       those of different components that share a right key too are compared inside the tasks, by
+       minima and by shortened sets.  Neither drops a similar pair; what is left is confirmed on
+       the full sets.
 
     So a large group of near copies costs a comparison per member, not per pair.
 
@@ -270,9 +283,13 @@ def near_duplicates(docs: DataFrame, id_column: str = "doc_id", text_column: str
     parts = materialize(connected(links))
     # 4: what still lies in mixed buckets.
     mixed = materialize(_mixed(_place(buckets, parts)))
-    minima = one.select("doc_id", "minima")
-    n_shards = max(1, -(-mixed.count() // SHARD_ROWS))
-    pairs = (_cells(mixed, minima).withColumn("shard", F.pmod(F.col("cell"), F.lit(n_shards)))
+    short = rows.join(broadcast_if_small(mixed.select("doc_id")), "doc_id", "left_semi").mapInPandas(
+        _short_sets, "doc_id bigint, short binary")
+    detailed = one.select("doc_id", "minima", F.filter("keys", lambda k: k.bitwiseAND(F.lit(63)) < SIDE).alias("keys"))
+    members = (mixed.join(detailed, "doc_id").join(short, "doc_id")
+               .select("doc_id", "component", "minima", "short", F.explode("keys").alias("key")))
+    n_shards = max(1, -(-SIDE * mixed.count() // SHARD_ROWS))
+    pairs = (_cells(members).withColumn("shard", F.pmod(F.col("cell"), F.lit(n_shards)))
              .groupBy("shard").applyInPandas(_alike, "a bigint, b bigint").distinct())
     seen = stars.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
     links = links.unionByName(_verified(pairs.join(seen, ["a", "b"], "left_anti"), rows))
