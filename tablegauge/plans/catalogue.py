@@ -438,6 +438,14 @@ def int_by_group(spark: SparkSession, sf_dir: str) -> DataFrame:
     return values.select("label", "index_name", F.round("value", 7).alias("value"))
 
 
+@query("int_scatter_wide")
+def int_scatter_wide(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Diagonal and neighbouring cells of the 64 x 64 within-scatter matrices."""
+    rows = moments.scatter_matrices(fx.embeddings(spark, sf_dir))
+    return rows.select("cluster", "i", F.round(F.get("row", F.col("i")), 4).alias("diagonal"),
+                       F.round(F.get("row", (F.col("i") + 1) % 64), 4).alias("beside"))
+
+
 # --- clusterings ------------------------------------------------------------------------------
 
 

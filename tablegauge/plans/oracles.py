@@ -380,6 +380,12 @@ SELECT 'run-1' AS run_id, 'parquet' AS dataset_filetype, '{"label": "c_mktsegmen
        false AS oneshot, count(*) AS n_rows FROM customer"""
 ORACLES["sink_result_text"] = ORACLES["sink_results"].replace("round(avg(est_f1), 6)", "round(avg(est_f1), 2)")
 
+ORACLES["int_scatter_wide"] = """
+WITH p AS (SELECT label, i, embedding[i]::DOUBLE AS a, embedding[i % 64 + 1]::DOUBLE AS b
+           FROM embeddings, (SELECT unnest(range(1, 65)) AS i))
+SELECT label::VARCHAR AS cluster, (i - 1)::INT AS i, round(sum(a * a) - sum(a) * sum(a) / count(*), 4) AS diagonal,
+       round(sum(a * b) - sum(a) * sum(b) / count(*), 4) AS beside FROM p GROUP BY ALL"""
+
 # --- planted clusterings ----------------------------------------------------------------------------
 
 for _name in ("kmeans", "ward", "spectral", "hdbscan"):
