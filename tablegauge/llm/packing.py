@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import json
+import re
 import zlib
 from collections.abc import Iterator
 
@@ -17,60 +19,62 @@ from tablegauge.session import materialize
 LENGTH, END_ID = 2048, 0
 #: Pieces that one shard packs, islands per shard, and the work of an island.
 SHARD_PIECES, ISLANDS, EPOCHS, POPULATION, GENERATIONS = 20_000, 3, 2, 4, 4
-#: Cached words of the tokenizer in one Python worker.
-CACHE_WORDS = 300_000
 PIECES = "doc_id bigint, piece int, start bigint, length bigint, ids_crc32 bigint"
 
 
 # --- tokens ------------------------------------------------------------------------------
 
 
-class WordTokenizer:
-    """Ids of byte-level BPE, word by word from memory.
+def _byte_letters() -> dict[str, int]:
+    """The letters that stand for bytes in byte-level vocabularies: printable ones for themselves,
+    the others, in order, for the code points from 256 on."""
+    own = [*range(33, 127), *range(161, 173), *range(174, 256)]
+    others = [b for b in range(256) if b not in set(own)]
+    return {chr(b): b for b in own} | {chr(256 + i): b for i, b in enumerate(others)}
 
-    The pattern that cuts a text before merging never joins a word to the space after it, so a
-    text may be cut before single spaces and the parts encoded on their own.  Texts with runs of
-    spaces are encoded as a whole.
+
+#: Letters and spaces on whose classes all regular-expression engines agree.
+PLAIN = re.compile("[^\t\n\r\x20-\x7e\xa1-\u024f\u2010-\u2027\u2030-\u205e]")
+
+
+class Tokenizer:
+    """Ids of a byte-level BPE definition.
+
+    The vocabulary is used as ranks, which is much faster; texts with characters outside
+    ``PLAIN`` go through the definition's own library.
     """
 
     def __init__(self, definition: str) -> None:
-        from tokenizers import Tokenizer
-
-        self.tokenizer = Tokenizer.from_str(definition)
-        self.tokenizer.encode_special_tokens = True
-        self.memory: dict[str, bytes] = {}
-
-    def _encode(self, texts: list[str]) -> list[bytes]:
-        found = self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)
-        return [np.array(e.ids, dtype="<u4").tobytes() for e in found]
-
-    def __call__(self, texts: list[str]) -> Iterator[bytes]:
-        """Little-endian unsigned 32-bit ids of every text."""
-        memory = self.memory
-        if len(memory) > CACHE_WORDS:
-            memory.clear()
-        for text in texts:
-            if "  " in text:
-                yield self._encode([text])[0]
-                continue
-            words = text.replace(" ", "\x00 ").split("\x00") if "\x00" not in text else [text]
-            try:
-                yield b"".join([memory[w] for w in words])
-            except KeyError:
-                new = list({w for w in words if w not in memory})
-                memory.update(zip(new, self._encode(new)))
-                yield b"".join([memory[w] for w in words])
-
-
-_TOKENIZERS: dict[int, WordTokenizer] = {}
-
-
-def _tokenizer(shared: Broadcast) -> WordTokenizer:
-    """One tokenizer per worker and definition; its memory outlives the task."""
+        import public_tokenizers
+        import tiktoken
+        from tokenizers import Tokenizer as Library
+
+        self.library = Library.from_str(definition)
+        self.library.encode_special_tokens = True
+        letters = _byte_letters()
+        parts = json.loads(definition)
+        special = {t["content"] for t in parts["added_tokens"]}
+        ranks = {bytes(letters[c] for c in token): rank for token, rank in parts["model"]["vocab"].items() if token not in special}
+        self.ranked = tiktoken.Encoding("ranked", pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens={})
+
+    def __call__(self, text: str) -> bytes:
+        """Little-endian unsigned 32-bit ids."""
+        if PLAIN.search(text):
+            ids = self.library.encode(text, add_special_tokens=False).ids
+        else:
+            ids = self.ranked.encode_to_numpy(text, disallowed_special=())
+        return np.asarray(ids, dtype="<u4").tobytes()
+
+
+_TOKENIZERS: dict[int, Tokenizer] = {}
+
+
+def _tokenizer(shared: Broadcast) -> Tokenizer:
+    """One tokenizer per worker and definition."""
     definition = shared.value
     key = zlib.crc32(definition.encode())
     if key not in _TOKENIZERS:
-        _TOKENIZERS[key] = WordTokenizer(definition)
+        _TOKENIZERS[key] = Tokenizer(definition)
     return _TOKENIZERS[key]
 
 
@@ -90,9 +94,9 @@ def token_pieces(docs: DataFrame, tokenizer_file: str, length: int = LENGTH, end
         encode = _tokenizer(shared)
         for batch in batches:
             for part in pieces(batch, ["text"]):
-                at, rows = part.index.to_numpy(), []
-                for i, ids in zip(range(len(at)), encode(part["text"].tolist())):
-                    ids += end
+                rows = []
+                for i, text in enumerate(part["text"]):
+                    ids = encode(text) + end
                     rows += [(i, k, s, n, zlib.crc32(ids[4 * s: 4 * (s + n)]))
                              for k, (s, n) in enumerate(cut(len(ids) // 4, length))]
                 of, piece, start, size, crc = zip(*rows)
