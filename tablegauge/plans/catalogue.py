@@ -478,7 +478,7 @@ def cluster_ward(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query("cluster_spectral")
 def cluster_spectral(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return spectral(_without_cluster(spark, sf_dir), 4, max_iter=10).select("row_id", "cluster")
+    return spectral(_without_cluster(spark, sf_dir), 4).select("row_id", "cluster")
 
 
 @query("cluster_hdbscan")
