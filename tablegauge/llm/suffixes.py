@@ -20,7 +20,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tablegauge.llm.common import id_and_text
-from tablegauge.session import broadcast_if_small, materialize
+from tablegauge.session import materialize
 
 LENGTH, GRAM = 200, 32
 #: Window starts that one pass over a long text takes.
@@ -292,7 +292,8 @@ def repeated_ranges(rows: DataFrame) -> DataFrame:
         .select("key", "digest", "n", "at.*"))
     wanted = contents.groupBy("rid", "tid").agg(
         F.collect_list(F.struct("key", "digest", "start", "anchor", "windows")).alias("wanted"))
-    cut = rows.join(broadcast_if_small(materialize(wanted), 64), ["rid", "tid"]).select("text", "wanted").mapInPandas(
+    # A shuffle at every size: the wanted places grow with the texts.
+    cut = rows.join(wanted.hint("merge"), ["rid", "tid"]).select("text", "wanted").mapInPandas(
         _content, "key bigint, digest bigint, anchor int, windows int, content binary")
     offers = materialize(cut.dropDuplicates(["key", "digest"]).select(
         F.col("key").alias("gid"), "key", "digest", "anchor", "content",
