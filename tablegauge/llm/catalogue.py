@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from tablegauge.llm import exact, near, packing, piece_codec, quality_model, quality_rules, secrets, suffixes, toxicity
+from tablegauge.llm import exact, near, packing, piece_codec, quality_model, quality_rules, secrets, suffixes, surrogates, toxicity
 from tablegauge.llm.common import documents, labels, prepared
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -62,6 +62,11 @@ def op8_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact.exact_duplicates(documents(prepared(spark), sf_dir))
 
 
+@query("op9_pii_surrogates")
+def op9_pii_surrogates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return surrogates.replace_entities(documents(prepared(spark), sf_dir))
+
+
 @query("op10_secret_scans")
 def op10_secret_scans(spark: SparkSession, sf_dir: str) -> DataFrame:
     versions = documents(prepared(spark), sf_dir)

@@ -9,7 +9,7 @@ from collections import Counter
 import numpy as np
 import pytest
 
-from tablegauge.llm import exact, near, packing, piece_codec, quality_model, quality_rules, secrets, suffixes, toxicity
+from tablegauge.llm import exact, near, packing, piece_codec, quality_model, quality_rules, secrets, suffixes, surrogates, toxicity
 
 public_tokenizers = pytest.importorskip("public_tokenizers")
 BPE = public_tokenizers.path("byte_bpe_50k.json")
@@ -333,8 +333,33 @@ def test_secret_scans_use_the_ledger(spark, empty):
 
 @pytest.mark.parametrize("operator", [
     suffixes.repeated_passages, near.near_duplicates, quality_rules.quality_rules, exact.exact_duplicates,
-    exact.without_copies, near.without_near_copies, lambda d: piece_codec.round_trip(d, PIECES), lambda d: packing.pack(d, BPE),
+    surrogates.replace_entities, exact.without_copies, near.without_near_copies, lambda d: piece_codec.round_trip(d, PIECES), lambda d: packing.pack(d, BPE),
     lambda d: secrets.scan_versions(d, secrets.read_ledger(d.sparkSession, None))[0],
     lambda d: secrets.without_secrets(d, secrets.read_ledger(d.sparkSession, None))])
 def test_empty_tables(empty, operator):
     assert operator(empty).count() == 0
+
+
+def test_surrogates_keep_form_and_identity(spark, empty):
+    texts = [(1, "mail jo.81@mail7.example.com or +1 (098) 555-0174 from 191.26.250.130"), (2, "again JO.81@mail7.example.com, ab@x.de"),
+             (3, None), (4, ""), (None, "card 4266 2614 4439 2889 x 4111111111111111"), (5, "Frau Schmidt and Mr. Smith met Frau Schmidt"),
+             (5, "Frau Schmidt and Mr. Smith met Frau Schmidt"), (6, "nothing here 1234")]
+    got = collected(surrogates.replace_entities(table(spark, texts)))
+    assert len(got) == len(texts)
+    by = {r["doc_id"]: r for r in got}
+    first = by[1]["text"].split()
+    assert "jo.81" not in by[1]["text"] and first[1].endswith(".com") and first[3] == "+1" and "191.26" not in by[1]["text"]
+    assert by[2]["text"].split()[1].rstrip(",") == first[1] and by[2]["n_entities"] == 2
+    names = re.findall(r"(?:Frau|Mr\.) (\w+)", by[5]["text"])
+    assert names[0] == names[2] != names[1] and names[0].endswith("na") and "Schmidt" not in by[5]["text"]
+    assert by[6]["text"] == "nothing here 1234" and by[3]["text"] == by[4]["text"] == ""
+    assert "4111111111111111" not in by[None]["text"]
+    assert surrogates.replace_entities(empty).count() == 0
+
+
+def test_colliding_surrogates_are_drawn_again(spark, monkeypatch):
+    monkeypatch.setattr(surrogates, "_propose", lambda batches: (
+        b.assign(surrogate=[f"s{a + (i == 'a@b.cc')}" for i, a in zip(b["value"], b["attempt"])]) for b in batches))
+    entities = spark.createDataFrame([("email", v) for v in ("a@b.cc", "b@b.cc", "c@b.cc", "s2")], "kind string, value string")
+    got = {r["value"]: r["surrogate"] for r in surrogates.assign_surrogates(entities).collect()}
+    assert len(got) == 4 == len(set(got.values())) and "s2" not in got.values()
