@@ -3,7 +3,7 @@
 1. Character 4-gram counts over all documents give a language model.
 2. A token that is not plain letters (digits and signs for letters, letters drawn out, letters
    spaced apart) is a lattice of readings; the cheapest path under model and channel is what it
-   was meant to be.
+   was meant to be.  Letters with a doubled one may be meant so or not: they are read both ways.
 3. A sequential covering of labelled rows picks the word stems and words that tell toxic texts.
    A document's score is the noisy-or of the distinct ones among its restored words.
 """
@@ -44,8 +44,11 @@ for _c in range(0x250):
     if chr(_c).isalpha():
         _SYMBOLS[_c] = _c - 96 if 97 <= _c <= 122 else 27 + _c % 5
 #: Three or more one-character tokens in a row.
-SPACED = re.compile(r"(?<!\S)(?:\S ){2,}\S(?!\S)")
+SPACED = re.compile(r"(?<!\S)(?:\S\s++){2,}\S(?!\S)")
 RUN = re.compile(r"(.)\1\1")
+DOUBLE = re.compile(r"(.)\1")
+#: Longer strings of letters are no words.
+LONGEST_WORD = 256
 TAIL = ".,;:!?\"')]}…»”"
 RULED_TAIL = re.compile(r"[#*%&$!~=_|-]{3,}$")
 
@@ -120,24 +123,43 @@ def restore(token: str, model: np.ndarray) -> str:
     return min((cost + float(model[state << 5]), word) for state, (cost, word) in states.items())[1]
 
 
+def _as_letters(word: str, model: np.ndarray) -> list[str]:
+    """Readings of plain letters: as they stand, and if one is doubled, the likeliest word and
+    each word with one doubled letter taken back."""
+    if not DOUBLE.search(word):
+        return [word]
+    found = [word, restore(word, model)]
+    if len(word) <= LONGEST_WORD and not RUN.search(word):
+        found += [word[: m.start()] + word[m.start() + 1:] for m in DOUBLE.finditer(word)]
+    return list(dict.fromkeys(found))
+
+
 def _readings(token: str, model: np.ndarray) -> list[str]:
     """Plain words that a token without white space may stand for."""
     core = token.rstrip(TAIL)
     if core.isalpha() and not RUN.search(core):
-        return [core]
+        return _as_letters(core, model)
     core = RULED_TAIL.sub("", core).rstrip(TAIL)
     if core.isalpha() and not RUN.search(core):
-        return [core]
+        return _as_letters(core, model)
     found = [core, restore(core, model)] if core else []
     inner = core.strip("(¡¿\"'«„“[{<#*%&~=_-/").rstrip(TAIL)
-    if inner != core:
-        found += [inner] if inner.isalpha() and not RUN.search(inner) else [inner, restore(inner, model)] if inner else []
+    if inner != core and inner:
+        found += _as_letters(inner, model) if inner.isalpha() else [inner, restore(inner, model)]
     for part in re.split(r"[^\w@$!|+]+", core):
         if part and part != core and part != inner:
-            found.append(part if part.isalpha() else restore(part, model))
+            found += _as_letters(part, model) if part.isalpha() else [restore(part, model)]
     return found
 
 
+def _spaced_words(run: str, model: np.ndarray) -> Iterator[str]:
+    """What a run of spaced letters may hold: a word may start at every place."""
+    joined = "".join(run.split())
+    plain = joined.isalpha() and not RUN.search(joined)
+    for whole in _as_letters(joined, model) if plain else [restore(joined, model)]:
+        yield from (whole[i:] for i in range(len(whole) - 2))
+
+
 def restored_words(text: str, model: np.ndarray, memory: dict[str, list[str]] | None = None) -> set[str]:
     """The distinct words of a text, each as restored."""
     memory = {} if memory is None else memory
@@ -147,9 +169,7 @@ def restored_words(text: str, model: np.ndarray, memory: dict[str, list[str]] |
             memory[token] = _readings(token, model)
         words.update(memory[token])
     for run in SPACED.findall(low):
-        joined = run.replace(" ", "")
-        whole = joined if joined.isalpha() and not RUN.search(joined) else restore(joined, model)
-        words.update(whole[i:] for i in range(len(whole) - 2))
+        words.update(_spaced_words(run, model))
     return words
 
 
@@ -177,7 +197,7 @@ class ToxicityModel:
             if found:
                 hits.update(found)
         for run in SPACED.findall(low):
-            hits.update(self._hits(restored_words(run, self.language)))
+            hits.update(self._hits(_spaced_words(run, self.language)))
         return 1.0 - (1.0 - self.base) * math.prod(1.0 - self.weights[h] for h in hits)
 
     def _hits(self, words) -> tuple[str, ...]:

@@ -116,6 +116,18 @@ def test_toxicity_learns_disguised_words(spark):
     assert toxicity.without_toxic(docs, labels).columns == docs.columns
 
 
+def test_toxicity_takes_back_one_doubled_letter(spark):
+    texts = [(i, f"{prose(i + 100, 20)} {'snorfless' if i % 4 == 0 else 'harbour'}") for i in range(400)]
+    disguised = ["snoorfless", "snorrfless", "snorflless", "ssnorfless", "s  n o\to r f\nl e s s", "(snoorfless)"]
+    plain = ["harbour", "haarbour", "bookkeeper"]
+    docs = table(spark, texts + [(1000 + i, f"river {w} stone") for i, w in enumerate(disguised + plain)])
+    got = {r["doc_id"]: r["predicted"] for r in collected(toxicity.toxicity(docs, labelled(spark, range(400), lambda i: int(i % 4 == 0))))}
+    assert [got[1000 + i] for i in range(9)] == [1] * 6 + [0] * 3
+    model = toxicity.language_model(docs)
+    assert {"snoorfless", "snorfless"} <= set(toxicity._readings("snoorfless", model))
+    assert toxicity._readings("river", model) == ["river"]
+
+
 def test_models_on_empty_tables(spark, frame, empty):
     none = labelled(spark, [], int)
     for fit in (toxicity.toxicity, quality_model.quality):
