@@ -47,7 +47,9 @@ for _c in range(0x250):
 SPACED = re.compile(r"(?<!\S)(?:\S\s++){2,}\S(?!\S)")
 RUN = re.compile(r"(.)\1\1")
 DOUBLE = re.compile(r"(.)\1")
-#: Longer strings of letters are no words.
+#: Ends a word of which only the beginning is known.
+OPEN = "\t"
+#: Longer strings of letters are no words: spaced runs end in closed words of up to so many letters.
 LONGEST_WORD = 256
 TAIL = ".,;:!?\"')]}…»”"
 RULED_TAIL = re.compile(r"[#*%&$!~=_|-]{3,}$")
@@ -97,30 +99,49 @@ def restore(token: str, model: np.ndarray) -> str:
 
     A state is the last three symbols; every character may be read as itself, as the letters it
     can stand for, dropped as a separator, or dropped as a repetition of the one before it.
+    Paths are chains of letters that share their beginnings, so a token of any length fits.
     """
-    states: dict[int, tuple[float, str]] = {0: (0.0, "")}
-    before = ""
-    for ch in token:
-        options: list[tuple[str, float]] = []
+    states: dict[int, tuple[float, tuple | None]] = {0: (0.0, None)}
+    before, done, at = "", [], 0
+    for i, ch in enumerate(token):
+        if len(states) == 1 and i - at >= LONGEST_WORD:
+            (state, (cost, path)), at = *states.items(), i
+            done.append(_spelled(path))
+            states = {state: (cost, None)}
         if ch.isalpha():
-            options.append((ch, 0.0))
+            options = [(ch, _symbol(ch), 0.0)]
+            if ch == before:
+                options.append(("", 0, DROP_REPEAT_COST))
         else:
-            options += [(c, READ_COST) for c in READINGS.get(ch, "")] + [("", DROP_SIGN_COST)]
-        if ch == before and ch.isalpha():
-            options.append(("", DROP_REPEAT_COST))
-        reached: dict[int, tuple[float, str]] = {}
-        for state, (cost, word) in states.items():
-            for out, extra in options:
+            options = [(c, ord(c) - 96, READ_COST) for c in READINGS.get(ch, "")] + [("", 0, DROP_SIGN_COST)]
+        reached: dict[int, tuple[float, tuple | None]] = {}
+        for state, (cost, path) in states.items():
+            for out, s, extra in options:
                 if out:
-                    code = ord(out)
-                    s = int(_SYMBOLS[code]) if code < 0x250 else 27 + code % 5
-                    to, total = (state << 5 | s) & 0x7FFF, cost + extra + float(model[state << 5 | s])
+                    step = state << 5 | s
+                    to, total = step & 0x7FFF, cost + extra + float(model[step])
                 else:
                     to, total = state, cost + extra
-                if to not in reached or (total, word + out) < reached[to]:
-                    reached[to] = (total, word + out)
+                if to not in reached or total < reached[to][0]:
+                    reached[to] = (total, (path, out) if out else path)
         states, before = reached, ch
-    return min((cost + float(model[state << 5]), word) for state, (cost, word) in states.items())[1]
+    ends = [(cost + float(model[state << 5]), path) for state, (cost, path) in states.items()]
+    least = min(cost for cost, _ in ends)
+    return "".join(done) + min(_spelled(path) for cost, path in ends if cost == least)
+
+
+def _symbol(ch: str) -> int:
+    code = ord(ch)
+    return int(_SYMBOLS[code]) if code < 0x250 else 27 + code % 5
+
+
+def _spelled(path: tuple | None) -> str:
+    """The letters of a chain whose last one comes first."""
+    out = []
+    while path is not None:
+        path, letter = path
+        out.append(letter)
+    return "".join(reversed(out))
 
 
 def _as_letters(word: str, model: np.ndarray) -> list[str]:
@@ -152,12 +173,16 @@ def _readings(token: str, model: np.ndarray) -> list[str]:
     return found
 
 
-def _spaced_words(run: str, model: np.ndarray) -> Iterator[str]:
-    """What a run of spaced letters may hold: a word may start at every place."""
+def _spaced_words(run: str, model: np.ndarray, longest: int = LONGEST_WORD) -> Iterator[str]:
+    """What a run of spaced letters may hold: its ends as closed words of up to ``longest``
+    letters, and from every other place the beginning of a word, as far as stems go."""
     joined = "".join(run.split())
     plain = joined.isalpha() and not RUN.search(joined)
+    longest = max(longest, STEMS[-1])
     for whole in _as_letters(joined, model) if plain else [restore(joined, model)]:
-        yield from (whole[i:] for i in range(len(whole) - 2))
+        cut = max(0, len(whole) - longest)
+        yield from (whole[i:i + STEMS[-1]] + OPEN for i in range(cut))
+        yield from (whole[i:] for i in range(cut, len(whole) - 2))
 
 
 def restored_words(text: str, model: np.ndarray, memory: dict[str, list[str]] | None = None) -> set[str]:
@@ -175,7 +200,8 @@ def restored_words(text: str, model: np.ndarray, memory: dict[str, list[str]] |
 
 def features(word: str) -> list[str]:
     """A word's stems (open at the end) and the word itself (closed)."""
-    return [word[:n] for n in STEMS if len(word) > n] + [f"{word} "]
+    stems = [word[:n] for n in STEMS if len(word) > n]
+    return stems if word.endswith(OPEN) else [*stems, f"{word} "]
 
 
 @dataclass
@@ -185,6 +211,9 @@ class ToxicityModel:
     base: float
     _scores: dict[str, tuple[str, ...]] = field(default_factory=dict, repr=False)
 
+    def __post_init__(self) -> None:
+        self._longest = max(map(len, self.weights), default=0)
+
     def score(self, text: str) -> float:
         seen, hits = self._scores, set()
         low = text.lower()
@@ -197,7 +226,7 @@ class ToxicityModel:
             if found:
                 hits.update(found)
         for run in SPACED.findall(low):
-            hits.update(self._hits(_spaced_words(run, self.language)))
+            hits.update(self._hits(_spaced_words(run, self.language, self._longest)))
         return 1.0 - (1.0 - self.base) * math.prod(1.0 - self.weights[h] for h in hits)
 
     def _hits(self, words) -> tuple[str, ...]:

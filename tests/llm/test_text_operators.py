@@ -128,6 +128,22 @@ def test_toxicity_takes_back_one_doubled_letter(spark):
     assert toxicity._readings("river", model) == ["river"]
 
 
+def test_long_spaced_runs_stay_small():
+    model = np.ones(toxicity.ALPHABET**toxicity.ORDER, dtype=np.float32)
+    r = random.Random(1)
+    letters = "".join(pair for _ in range(10_000) for pair in [r.choice("ac") + r.choice("gt")])
+    words = toxicity.restored_words(" ".join(letters), model)
+    # Few windows of 7 letters are distinct; 256 closed words have up to 256 letters.
+    assert sum(map(len, words)) < 100_000
+    short = "acgtacgatat"
+    assert {short[i:] for i in range(len(short) - 2)} <= toxicity.restored_words(" ".join(short), model)
+    stems = {f for i in range(100) for f in toxicity.features(letters[i:])[:-1]}
+    assert stems <= {f for w in words for f in toxicity.features(w)}
+    fitted = toxicity.ToxicityModel(model, {letters[500:507]: 0.9, f"{letters[-9:]} ": 0.8}, 0.0)
+    assert fitted.score(" ".join(letters)) == pytest.approx(0.98)
+    assert toxicity.restore(f"{letters}!", model).startswith(letters)
+
+
 def test_models_on_empty_tables(spark, frame, empty):
     none = labelled(spark, [], int)
     for fit in (toxicity.toxicity, quality_model.quality):
