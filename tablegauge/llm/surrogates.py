@@ -3,6 +3,8 @@
 from __future__ import annotations
 
 import re
+import unicodedata
+from bisect import bisect_right
 from collections.abc import Iterator
 from hashlib import blake2b, sha256
 
@@ -19,14 +21,32 @@ NO_ID = -(1 << 63)
 # Forms of address and the gender they state.
 TITLES = {"Mr": "m", "Mrs": "f", "Ms": "f", "Herr": "m", "Frau": "f", "Monsieur": "m", "Madame": "f",
           "Señor": "m", "Señora": "f", "господин": "m", "госпожа": "f"}
+#: Capital letters of the Latin, Greek, Cyrillic and Armenian alphabets, and what may follow them in a word.
+UPPER = "[" + "".join(chr(c) for r in (range(0x41, 0x590), range(0x1E00, 0x1F00)) for c in r if chr(c).isupper()) + "]"
+LETTER = r"(?:[^\W\d_][\u0300-\u036f]*)"
+#: A capitalised word with its hyphens and apostrophes, without the endings of contractions.
+WORD = rf"(?:[dlDL]['’])?{UPPER}[\u0300-\u036f]*{LETTER}*(?:['’](?!(?:s|ll|d|ve|re|m)\b){LETTER}+|[-‐]{LETTER}+)*(?!{LETTER})"
+INITIALS = rf"{UPPER}\.(?:[ -]?{UPPER}\.)*"
+PARTICLES = ("(?:van|von|der|den|dem|de|del|della|di|da|do|dos|das|du|des|la|las|le|los|el|al|y|e|i|zu|zum|zur|vom|ten|ter|af|av"
+             "|bin|ibn|bint|ben|фон|де)")
+PART = rf"(?:{PARTICLES}[^\S\r\n])*(?:{INITIALS}|{WORD})"
+#: International and national numbers; few digits are none.
+NATIONAL = (r"(?<![\w+])\+\d{1,3}[ .-]?(?:\(0\)[ ]?)?\(?\d{1,4}\)?(?:[ ./-]?\d{2,8}){1,5}(?!\d)"
+            r"|(?<![\d+(])(?<!\d[ ./-])(?:\(0[1-9]\d{1,3}\) ?|0[1-9]\d{1,3}[ /-])\d{3,8}(?:[ -]\d{2,5}){0,3}(?![ .-]?\d)"
+            r"|(?<![\d+])(?<!\d[ ./-])0[1-9](?P<fr>[ .-])\d\d(?:(?P=fr)\d\d){3}(?![ .-]?\d)"
+            r"|(?<![\d+])(?<!\d[ ./-])(?:[89]\d[ ]\d{3}|[6-9]\d\d[ ]\d\d)[ ]\d\d[ ]\d\d(?![ .-]?\d)"
+            r"|(?<![\d+])(?<!\d[ ./-])8[ -]?\(?\d{3}\)?[ -]?\d{3}[ -]\d\d[ -]\d\d(?!\d)"
+            r"|(?<![\d.-])(?:1[.-])?\d{3}(?P<us>[.-])\d{3}(?P=us)\d{4}(?![\d]|[.-]\d)"
+            r"|(?<![\w(])\(\d{3}\) ?\d{3}[ .-]\d{4}(?!\d)")
 #: In order of preference where two kinds start together.
 PATTERNS = {
     "email": re.compile(r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)*\.[A-Za-z]{2,}"),
     "ip": re.compile(r"(?<![\d.])(?:(?:25[0-5]|2[0-4]\d|1?\d?\d)\.){3}(?:25[0-5]|2[0-4]\d|1?\d?\d)(?![\d.]*\d)"),
     "card": re.compile(r"(?<!\d)(?:\d[ -]?){12,18}\d(?!\d)"),
-    "phone": re.compile(r"(?<![\w+])\+\d{1,3}[ -]?\(?\d{2,4}\)?(?:[ -]?\d{2,4}){2,4}(?!\d)|(?<![\w(])\(\d{3}\) \d{3}-\d{4}(?!\d)"
-                        r"|(?<![\d-])\d{3}-\d{2}-\d{4}(?![\d-])|(?<![\d-])\d{3}-\d{3}-\d{4}(?![\d-])"),
-    "name": re.compile(r"\b(?:" + "|".join(TITLES) + r")\.? ([^\W\d_]+(?:[ -][A-ZÀ-ÞА-Я][^\W\d_]+)?)"),
+    "phone": re.compile(r"(?=[+(0-9])(?:(?<![\w+])\+\d{1,3}[ -]?\(?\d{2,4}\)?(?:[ -]?\d{2,4}){2,4}(?!\d)|(?<![\w(])\(\d{3}\) \d{3}-\d{4}(?!\d)"
+                        r"|(?<![\d-])\d{3}-\d{2}-\d{4}(?![\d-])|(?<![\d-])\d{3}-\d{3}-\d{4}(?![\d-])|" + NATIONAL + ")"),
+    "name": re.compile(rf"\b(?P<title>{'|'.join(TITLES)})\.?[^\S\r\n](?:(?:Dr|Prof|Professor|Doktor)\.?[^\S\r\n])*"
+                       rf"(?P<name>{PART}(?:[^\S\r\n]{PART})*)"),
 }
 KINDS = tuple(PATTERNS)
 SYLLABLES = {"latin": ("ba", "de", "li", "mo", "ru", "ka", "ne", "ti", "so", "va"),
@@ -34,6 +54,11 @@ SYLLABLES = {"latin": ("ba", "de", "li", "mo", "ru", "ka", "ne", "ti", "so", "va
 ENDINGS = {("latin", "m"): "n", ("latin", "f"): "na", ("cyrillic", "m"): "н", ("cyrillic", "f"): "на"}
 
 
+#: The parts of a name: initials and words.
+PARTS = re.compile(rf"(?P<initial>(?<!\w){UPPER}\.)|(?<![\w'’-]){WORD}")
+PIECE = re.compile(rf"{LETTER}+")
+
+
 def luhn(digits: str) -> bool:
     total = 0
     for i, c in enumerate(reversed(digits)):
@@ -51,12 +76,11 @@ def find_entities(text: str) -> list[tuple[int, int, str, str]]:
         for m in pattern.finditer(text):
             value, (start, end) = m[0], m.span()
             if kind == "name":
-                gender, value, (start, end) = TITLES[m[0].split(" ")[0].rstrip(".")], m[1], m.span(1)
-                if not value[0].isupper():
-                    continue
-                value = f"{gender}:{value}"
+                value, (start, end) = f"{TITLES[m['title']]}:{m['name']}", m.span("name")
             elif kind == "card" and not luhn(re.sub(r"\D", "", value)):
                 continue
+            elif kind == "phone" and len(re.sub(r"\D", "", value)) < (7 if value[0] == "+" else 8):
+                continue
             found.append((start, rank, end, kind, value.lower() if kind == "email" else value))
     out, at = [], 0
     for start, _, end, kind, value in sorted(found):
@@ -66,6 +90,58 @@ def find_entities(text: str) -> list[tuple[int, int, str, str]]:
     return out
 
 
+def _canonical(part: str) -> str:
+    """A part of a name as it is written in mixed case; one letter stands for an initial."""
+    part = unicodedata.normalize("NFC", part)
+    letters = "".join(PIECE.findall(part))
+    if len(letters) == 1:
+        return letters
+    return PIECE.sub(lambda m: m[0].capitalize(), part) if letters.isupper() else part
+
+
+def find_parts(text: str) -> list[tuple[int, int, str, str, int, int]]:
+    """(start, end, kind, canonical value, start and end of the entity) of what is replaced.
+
+    Names go by their parts, so that a person keeps a surrogate under every form of the name;
+    the parts of all persons are also found without a form of address, anywhere in the text.
+    A part of several persons belongs to the last one named before it, else to the first.
+    """
+    out, persons, taken = [], {}, []
+    for start, end, kind, value in find_entities(text):
+        taken.append((start, end))
+        if kind != "name":
+            out.append((start, end, kind, value, start, end))
+            continue
+        gender = value[0]
+        for m in PARTS.finditer(text, start, end):
+            part = _canonical(m[0])
+            if len(part) == 1:
+                out.append((m.start(), m.start() + 1, kind, f"i:{part}", start, end))
+            else:
+                out.append((*m.span(), kind, f"{gender}:{part}", start, end))
+                persons.setdefault(part, []).append((start, gender))
+    if not persons:
+        return out
+    starts = [s for s, _ in taken]
+
+    def bare(start: int, end: int) -> bool:
+        part = _canonical(text[start:end])
+        at = bisect_right(starts, start) - 1
+        if part not in persons or (at >= 0 and start < taken[at][1]) or (at + 1 < len(taken) and taken[at + 1][0] < end):
+            return False
+        known = persons[part]
+        gender = known[max(0, bisect_right(known, (start, "")) - 1)][1]
+        out.append((start, end, "name", f"{gender}:{part}", start, end))
+        return True
+
+    for m in PARTS.finditer(text):
+        if not m["initial"] and not bare(*m.span()):
+            for piece in PIECE.finditer(text, *m.span()):
+                if piece.span() != m.span():
+                    bare(*piece.span())
+    return sorted(out)
+
+
 def _stream(kind: str, value: str, attempt: int) -> Iterator[int]:
     """Keyed numbers without end."""
     block = 0
@@ -97,7 +173,7 @@ def surrogate(kind: str, value: str, attempt: int) -> str:
     if kind == "ip":
         return ".".join(str(1 + next(stream) % 254) for _ in range(4))
     if kind == "phone":
-        lead = re.match(r"\+\d{1,3}", value)
+        lead = re.match(r"\+\d{1,3}|\(?0", value)
         lead = lead[0] if lead else ""
         return lead + _reshaped(value[len(lead):], stream)
     if kind == "card":
@@ -106,19 +182,31 @@ def surrogate(kind: str, value: str, attempt: int) -> str:
         return next(body + d for d in "0123456789" if luhn(re.sub(r"\D", "", body + d)))
     gender, _, name = value.partition(":")
     script = "cyrillic" if re.search("[Ѐ-ӿ]", name) else "latin"
-    parts = [len(p) for p in re.split("[ -]", name)]
-    made = []
-    for n in parts:
-        word = "".join(SYLLABLES[script][next(stream) % 10] for _ in range(max(2, (n - 1) // 2) + attempt // 4))
-        made.append((word + ENDINGS[script, gender]).capitalize())
-    return re.sub(r"[^ -]+", lambda _: made.pop(0), name)
+
+    def made(m: re.Match) -> str:
+        if len(m[0]) == 1:
+            return initial(m[0])
+        syllables = max(2, (len(m[0]) - 1) // 2) + attempt // 2
+        word = "".join(SYLLABLES[script][next(stream) % 10] for _ in range(syllables)) + ENDINGS[script, gender]
+        return word.capitalize() if m[0][0].isupper() else word
+
+    return PIECE.sub(made, name)
+
+
+def initial(letter: str) -> str:
+    """Another letter of the same case and script: the next one on a keyed ring, so letters stay apart."""
+    first, n = (0x430, 32) if "Ѐ" <= letter <= "ӿ" else (97, 26)
+    ring = sorted(map(chr, range(first, first + n)), key=lambda c: blake2b(c.encode(), key=KEY).digest())
+    low = letter.lower()
+    new = ring[(ring.index(low) + 1) % n] if low in ring else ring[ord(low) % n]
+    return new.upper() if letter.isupper() else new
 
 
 def _detect(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
     for batch in batches:
         for part in pieces(batch, ["text"]):
-            rows = [(r, t, *e) for r, t, x in zip(part["rid"], part["tid"], part["text"]) for e in find_entities(x)]
-            yield pd.DataFrame(rows, columns=["rid", "tid", "begin", "end", "kind", "value"])
+            rows = [(r, t, *e) for r, t, x in zip(part["rid"], part["tid"], part["text"]) for e in find_parts(x)]
+            yield pd.DataFrame(rows, columns=["rid", "tid", "begin", "end", "kind", "value", "first", "last"])
 
 
 def _propose(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -151,11 +239,14 @@ def _rewrite(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
     for batch in batches:
         rows = []
         for rid, text, spans in zip(batch["rid"], batch["text"], batch["spans"]):
-            at, out, marks = 0, [], []
+            at, out, marks = 0, [], {}
             for s in sorted(spans if spans is not None else [], key=lambda s: s["begin"]):
-                out += [text[at: s["begin"]], s["surrogate"]]
+                own, new = text[s["begin"]: s["end"]], s["surrogate"]
+                if s["kind"] == "name":
+                    new = initial(own) if new is None else new.upper() if own.isupper() else new
+                out += [text[at: s["begin"]], new]
                 at = s["end"]
-                marks.append(f"{s['kind']}:{s['begin']}:{s['end']}")
+                marks[f"{s['kind']}:{s['first']}:{s['last']}"] = None
             new = "".join([*out, text[at:]])
             rows.append((rid, len(marks), ",".join(marks), sha256(new.encode("utf-8", "surrogatepass")).hexdigest(), new))
         yield pd.DataFrame(rows, columns=["rid", "n_entities", "spans", "text_sha256", "text"])
@@ -165,16 +256,17 @@ def replace_entities(docs: DataFrame, id_column: str = "doc_id", text_column: st
     """``doc_id, n_entities, spans, text_sha256, text`` for every row: texts with surrogates.
 
     One entity has one surrogate in all documents (coreference), two entities have two
-    (distinctness).  ``spans`` lists kind:start:end in code points of the input.  Null texts are
+    (distinctness); of names this holds for each part.  Initials become other initials, particles
+    stay.  ``spans`` lists kind:start:end in code points of the input.  Null texts are
     empty; ids may be null or repeated; repeated rows are rewritten alike; an empty table gives
     no rows; other columns are ignored.
     """
     rows = id_and_text(docs, id_column, text_column).select(
         F.coalesce("doc_id", F.lit(NO_ID)).alias("rid"), F.xxhash64("text").alias("tid"), "text")
-    found = materialize(rows.mapInPandas(_detect, "rid bigint, tid bigint, begin int, end int, kind string, value string"))
-    mapping = materialize(assign_surrogates(found.select("kind", "value").distinct()))
-    spans = (found.distinct().join(mapping, ["kind", "value"]).groupBy("rid", "tid")
-             .agg(F.collect_list(F.struct("begin", "end", "kind", "surrogate")).alias("spans")))
+    found = materialize(rows.mapInPandas(_detect, "rid bigint, tid bigint, begin int, end int, kind string, value string, first int, last int"))
+    mapping = materialize(assign_surrogates(found.where(~F.col("value").startswith("i:")).select("kind", "value").distinct()))
+    spans = (found.distinct().join(mapping, ["kind", "value"], "left").groupBy("rid", "tid")
+             .agg(F.collect_list(F.struct("begin", "end", "kind", "surrogate", "first", "last")).alias("spans")))
     written = rows.join(spans.hint("merge"), ["rid", "tid"], "left").select("rid", "text", "spans").mapInPandas(
         _rewrite, "rid bigint, n_entities bigint, spans string, text_sha256 string, text string")
     return written.select(F.when(F.col("rid") != NO_ID, F.col("rid")).alias("doc_id"), "n_entities", "spans", "text_sha256", "text")

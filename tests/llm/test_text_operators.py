@@ -385,6 +385,36 @@ def test_surrogates_keep_form_and_identity(spark, empty):
     assert surrogates.replace_entities(empty).count() == 0
 
 
+@pytest.mark.parametrize("text, gone", [
+    ("Mr John Michael Smith said", "John Michael Smith"), ("Herr Jean-Pierre Dupont", "Jean-Pierre Dupont"),
+    ("Señor José García López", "José García López"), ("Mr J. Smith", "J Smith"), ("Mr O'Brien", "O'Brien"),
+    ("Frau Dr. von der Müller-Lüdenscheidt", "Müller-Lüdenscheidt"), ("господин Иван Петрович Сидоров", "Иван Петрович Сидоров"),
+    ("on 01 23 45 67 89.", "01 23 45 67 89"), ("on +33 1 23 45 67 89.", "+33 1 23 45 67 89"), ("on 030 1234567.", "030 1234567"),
+    ("on (030) 1234567.", "(030) 1234567"), ("on 555.123.4567.", "555.123.4567"), ("on 8 (495) 123-45-67.", "8 (495) 123-45-67")])
+def test_entities_are_found_whole(text, gone):
+    found = surrogates.find_parts(text)
+    assert " ".join(text[b:e] for b, e, *_ in found) == gone and len({p[4:] for p in found}) == 1
+
+
+def test_no_entities_in_plain_numbers_and_words():
+    for text in ("1 023 456 789", "2024-01-02 10:11", "mr smith went", "Smith said", "01 23 45 67 89 10 11"):
+        assert surrogates.find_parts(text) == []
+
+
+def test_persons_keep_their_surrogates_under_every_name(spark):
+    texts = [(1, "Smith came. Mr John Smith and Mr J. Smith met Mr O'Brien; SMITH's John, Smith-like, Smithson"),
+             (2, "Mr Smith met Mrs Smith, and Smith left"), (3, "Smith alone")]
+    got = {r["doc_id"]: r for r in collected(surrogates.replace_entities(table(spark, texts)))}
+    m = re.fullmatch(r"(\w+) came\. Mr (\w+) (\w+) and Mr (\w)\. (\w+) met Mr (\w'\w+); (\w+)'s (\w+), (\w+)-like, Smithson", got[1]["text"])
+    smith, john = m[3], m[2]
+    assert m[1] == m[5] == m[9] == smith != "Smith" and m[7] == smith.upper() and m[8] == john not in ("John", smith)
+    assert m[4].isupper() and m[4] != "J" and m[6] != "O'Brien"
+    assert got[1]["n_entities"] == 7 and "name:15:25" in got[1]["spans"].split(",")
+    m = re.fullmatch(r"Mr (\w+) met Mrs (\w+), and (\w+) left", got[2]["text"])
+    assert m[1] == smith != m[2] == m[3] and m[2].endswith("na")
+    assert got[3]["text"] == "Smith alone" and len({surrogates.initial(c) for c in "ABCDEFGHIJKLMNOPQRSTUVWXYZ"}) == 26
+
+
 def test_colliding_surrogates_are_drawn_again(spark, monkeypatch):
     monkeypatch.setattr(surrogates, "_propose", lambda batches: (
         b.assign(surrogate=[f"s{a + (i == 'a@b.cc')}" for i, a in zip(b["value"], b["attempt"])]) for b in batches))
