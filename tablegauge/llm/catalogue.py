@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from tablegauge.llm import exact, near, packing, piece_codec, quality_model, quality_rules, secrets, suffixes, surrogates, toxicity
+from tablegauge.llm import audit, byte_codec, exact, near, packing, piece_codec, quality_model, quality_rules, secrets, suffixes, surrogates, toxicity
 from tablegauge.llm.common import documents, labels, prepared
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -74,6 +74,44 @@ def op10_secret_scans(spark: SparkSession, sf_dir: str) -> DataFrame:
     return secrets.span_digest(findings)
 
 
+@query("op12_filter_audit")
+def op12_filter_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return audit.filter_interactions(documents(prepared(spark), sf_dir), labels(spark, sf_dir))
+
+
+@query("op13_byte_bpe")
+def op13_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return byte_codec.round_trip(documents(prepared(spark), sf_dir), public_tokenizers.path("byte_bpe_50k.json"))
+
+
+ORACLES["op12_filter_audit"] = r"""
+WITH RECURSIVE d AS (SELECT doc_id, coalesce(text, '') AS text, coalesce(source, '') AS part FROM documents),
+w AS (SELECT *, list_filter(regexp_split_to_array(text, '[\x20\x09-\x0D]+'), lambda x: x <> '') AS words FROM d),
+l AS (SELECT doc_id, max((quality = 1)::INT) AS good, max((toxic = 1)::INT) AS toxic FROM labels GROUP BY doc_id),
+f AS (SELECT part, coalesce(good, 0) AS good, coalesce(toxic, 0) AS toxic,
+             (len(words) < 50)::INT + 2 * (100 * len(list_distinct(words)) < 65 * len(words))::INT
+             + 4 * (100 * (length(text) - length(regexp_replace(text, '[A-Z]', '', 'g'))) > 5 * length(text))::INT
+             + 8 * regexp_matches(text, '[#$%&*|]')::INT
+             + 16 * coalesce(w.doc_id > min(w.doc_id) OVER (PARTITION BY text), false)::INT AS mask
+      FROM w LEFT JOIN l ON w.doc_id = l.doc_id),
+c AS (SELECT part, mask, count(*) AS n, sum(good) AS good, sum(toxic) AS toxic FROM f GROUP BY part, mask),
+o AS (SELECT '' AS filter_order, 0 AS used, 0 AS step
+      UNION ALL SELECT filter_order || 'ABCDE'[i + 1], used + (1 << i), step + 1
+      FROM o, range(5) r(i) WHERE (used >> i) & 1 = 0),
+s AS (SELECT a.filter_order, k AS step, ascii(a.filter_order[k]) - 65 AS bit,
+             coalesce(list_sum(list_transform(range(1, k), lambda j: 1 << (ascii(a.filter_order[j]) - 65))), 0)::INT AS earlier
+      FROM (SELECT filter_order FROM o WHERE step = 5) a, range(1, 6) r(k)),
+x AS (SELECT part, filter_order, step, bit,
+             coalesce(sum(n) FILTER (WHERE mask & earlier = 0 AND (mask >> bit) & 1 = 0), 0)::BIGINT AS kept,
+             coalesce(sum(n) FILTER (WHERE mask & earlier = 0 AND (mask >> bit) & 1 = 1), 0)::BIGINT AS removed,
+             coalesce(sum(n) FILTER (WHERE mask & earlier <> 0 AND (mask >> bit) & 1 = 1), 0)::BIGINT AS redundant,
+             coalesce(sum(n) FILTER (WHERE mask = 1 << bit), 0)::BIGINT AS unique_fails,
+             coalesce(sum(good) FILTER (WHERE mask & earlier = 0 AND (mask >> bit) & 1 = 1), 0)::BIGINT AS good_lost,
+             coalesce(sum(toxic) FILTER (WHERE mask & earlier = 0 AND (mask >> bit) & 1 = 1), 0)::BIGINT AS toxic_lost
+      FROM c, s GROUP BY part, filter_order, step, bit)
+SELECT part, filter_order, step::INT AS step, kept, removed, redundant, unique_fails, good_lost, toxic_lost,
+       (sum(removed) OVER (PARTITION BY part, bit))::BIGINT AS shapley FROM x"""
+
 ORACLES["op8_exact_dedup"] = r"""
 WITH n AS (SELECT doc_id, regexp_replace(coalesce(text, ''), '[\x20\x09-\x0D]+', '', 'g') AS body,
                   length(coalesce(text, '')) AS n_chars FROM documents),
