@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from tablegauge.llm import audit, byte_codec, exact, near, packing, piece_codec, quality_model, quality_rules, secrets, suffixes, surrogates, toxicity
+from tablegauge.llm import audit, byte_codec, exact, lexical, near, packing, piece_codec, quality_model, quality_rules, secrets, suffixes, surrogates, toxicity
 from tablegauge.llm.common import documents, labels, prepared
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -74,6 +74,11 @@ def op10_secret_scans(spark: SparkSession, sf_dir: str) -> DataFrame:
     return secrets.span_digest(findings)
 
 
+@query("op11_lexical_search")
+def op11_lexical_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lexical.ranked_search(documents(prepared(spark), sf_dir), spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
+
+
 @query("op12_filter_audit")
 def op12_filter_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
     return audit.filter_interactions(documents(prepared(spark), sf_dir), labels(spark, sf_dir))
@@ -84,6 +89,22 @@ def op13_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return byte_codec.round_trip(documents(prepared(spark), sf_dir), public_tokenizers.path("byte_bpe_50k.json"))
 
 
+ORACLES["op11_lexical_search"] = r"""
+WITH t AS (SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+                  '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+') AS terms FROM documents),
+g AS (SELECT count(*) FILTER (WHERE len(terms) > 0) AS n_docs, sum(len(terms))::BIGINT AS n_terms FROM t),
+tf AS (SELECT doc_id, n, term, count(*) AS tf FROM (SELECT doc_id, len(terms)::BIGINT AS n, unnest(terms) AS term FROM t) GROUP BY ALL),
+df AS (SELECT term, count(*) AS df FROM tf GROUP BY term),
+p AS (SELECT doc_id, term,
+             floor(1000 * ln((2 * n_docs + 2) / (2 * df + 1)))::BIGINT
+             * ((1000000000 * tf) // (1000 * tf + 8 * (100 - 75 + (75 * n * n_docs) // n_terms))) AS impact
+      FROM tf JOIN df USING (term), g),
+q AS (SELECT item_id, unnest(regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+             '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+')) AS term FROM benchmark),
+s AS (SELECT item_id, doc_id, sum(impact)::BIGINT AS score FROM q JOIN p USING (term) GROUP BY item_id, doc_id),
+r AS (SELECT item_id, row_number() OVER (PARTITION BY item_id ORDER BY score DESC, doc_id) AS rank, doc_id, score FROM s WHERE score > 0)
+SELECT item_id, rank::INT AS rank, doc_id, score FROM r WHERE rank <= 10"""
+
 ORACLES["op12_filter_audit"] = r"""
 WITH RECURSIVE d AS (SELECT doc_id, coalesce(text, '') AS text, coalesce(source, '') AS part FROM documents),
 w AS (SELECT *, list_filter(regexp_split_to_array(text, '[\x20\x09-\x0D]+'), lambda x: x <> '') AS words FROM d),
