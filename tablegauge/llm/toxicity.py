@@ -36,7 +36,7 @@ READ_COST, DROP_SIGN_COST, DROP_REPEAT_COST = 1.0, 1.0, 0.5
 #: Rows used to learn, and the least evidence a feature needs.
 SAMPLE_ROWS, ACCEPT, SURE, STEMS = 20_000, 0.7, 0.9, (4, 5, 6, 7)
 #: Scores kept per Python worker before the memory is emptied.
-CACHE_WORDS = 400_000
+CACHE_WORDS = 200_000
 THRESHOLD = 0.7
 
 _SYMBOLS = np.zeros(0x250, dtype=np.uint32)
@@ -71,7 +71,11 @@ def _count(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for text in batch["text"]:
             s = symbols(f"   {text.lower()} ")
             grams = s[:-3] << 15 | s[1:-2] << 10 | s[2:-1] << 5 | s[3:]
-            np.add.at(total, grams, 1)
+            if len(grams) > 50_000:
+                total += np.bincount(grams, minlength=len(total))
+            else:
+                which, n = np.unique(grams, return_counts=True)
+                total[which] += n
     at = np.nonzero(total)[0]
     yield pd.DataFrame({"gram": at.astype(np.int32), "n": total[at]})
 
@@ -246,6 +250,24 @@ def distinct_rows(rows: list[set[str]]) -> list[set[str]]:
     return kept
 
 
+def _specific(weights: dict[str, float], where: dict[str, set[int]]) -> dict[str, float]:
+    """``weights`` without stems that longer features explain.
+
+    ``path`` tells no more than ``pathetic`` does, but clean words begin like that too.  A stem stays
+    if it is a sure word itself, so that its endings are found, or if some row has it in no
+    longer sure feature.
+    """
+    longer: dict[str, set[int]] = {}
+    for f in weights:
+        for n in STEMS:
+            if n < len(f.rstrip()):
+                longer.setdefault(f[:n], set()).update(where[f])
+            elif n == len(f.rstrip()) and f.endswith(" "):
+                longer.setdefault(f[:n], set()).update(where[f])
+    return {f: w for f, w in weights.items()
+            if f.endswith(" ") or f"{f} " in weights or not where[f] <= longer.get(f, set())}
+
+
 def cover(toxic: list[set[str]], clean: Counter, n_clean: int) -> tuple[dict[str, float], float]:
     """Features by sequential covering: ``(feature -> chance of toxic, rest)``.
 
@@ -259,7 +281,7 @@ def cover(toxic: list[set[str]], clean: Counter, n_clean: int) -> tuple[dict[str
         for f in {f for w in words for f in features(w)}:
             where.setdefault(f, set()).add(i)
     value = lambda f: len(where[f]) / (len(where[f]) + clean.get(f, 0) + 2)
-    weights = {f: value(f) for f in where if value(f) >= SURE}
+    weights = _specific({f: value(f) for f in where if value(f) >= SURE}, where)
     left = set(range(len(toxic))).difference(*[where[f] for f in weights])
     for f in where:
         where[f] &= left
