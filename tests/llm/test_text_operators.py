@@ -361,7 +361,7 @@ def test_secret_scans_use_the_ledger(spark, empty):
 
 @pytest.mark.parametrize("operator", [
     suffixes.repeated_passages, near.near_duplicates, quality_rules.quality_rules, exact.exact_duplicates,
-    surrogates.replace_entities, exact.without_copies, near.without_near_copies, lambda d: piece_codec.round_trip(d, PIECES), lambda d: packing.pack(d, BPE),
+    lambda d: surrogates.replace_entities(d, b"k"), exact.without_copies, near.without_near_copies, lambda d: piece_codec.round_trip(d, PIECES), lambda d: packing.pack(d, BPE),
     lambda d: secrets.scan_versions(d, secrets.read_ledger(d.sparkSession, None))[0],
     lambda d: secrets.without_secrets(d, secrets.read_ledger(d.sparkSession, None))])
 def test_empty_tables(empty, operator):
@@ -372,7 +372,7 @@ def test_surrogates_keep_form_and_identity(spark, empty):
     texts = [(1, "mail jo.81@mail7.example.com or +1 (098) 555-0174 from 191.26.250.130"), (2, "again JO.81@mail7.example.com, ab@x.de"),
              (3, None), (4, ""), (None, "card 4266 2614 4439 2889 x 4111111111111111"), (5, "Frau Schmidt and Mr. Smith met Frau Schmidt"),
              (5, "Frau Schmidt and Mr. Smith met Frau Schmidt"), (6, "nothing here 1234")]
-    got = collected(surrogates.replace_entities(table(spark, texts)))
+    got = collected(surrogates.replace_entities(table(spark, texts), b"k"))
     assert len(got) == len(texts)
     by = {r["doc_id"]: r for r in got}
     first = by[1]["text"].split()
@@ -382,7 +382,7 @@ def test_surrogates_keep_form_and_identity(spark, empty):
     assert names[0] == names[2] != names[1] and names[0].endswith("na") and "Schmidt" not in by[5]["text"]
     assert by[6]["text"] == "nothing here 1234" and by[3]["text"] == by[4]["text"] == ""
     assert "4111111111111111" not in by[None]["text"]
-    assert surrogates.replace_entities(empty).count() == 0
+    assert surrogates.replace_entities(empty, b"k").count() == 0
 
 
 @pytest.mark.parametrize("text, gone", [
@@ -404,7 +404,7 @@ def test_no_entities_in_plain_numbers_and_words():
 def test_persons_keep_their_surrogates_under_every_name(spark):
     texts = [(1, "Smith came. Mr John Smith and Mr J. Smith met Mr O'Brien; SMITH's John, Smith-like, Smithson"),
              (2, "Mr Smith met Mrs Smith, and Smith left"), (3, "Smith alone")]
-    got = {r["doc_id"]: r for r in collected(surrogates.replace_entities(table(spark, texts)))}
+    got = {r["doc_id"]: r for r in collected(surrogates.replace_entities(table(spark, texts), b"k"))}
     m = re.fullmatch(r"(\w+) came\. Mr (\w+) (\w+) and Mr (\w)\. (\w+) met Mr (\w'\w+); (\w+)'s (\w+), (\w+)-like, Smithson", got[1]["text"])
     smith, john = m[3], m[2]
     assert m[1] == m[5] == m[9] == smith != "Smith" and m[7] == smith.upper() and m[8] == john not in ("John", smith)
@@ -412,12 +412,4 @@ def test_persons_keep_their_surrogates_under_every_name(spark):
     assert got[1]["n_entities"] == 7 and "name:15:25" in got[1]["spans"].split(",")
     m = re.fullmatch(r"Mr (\w+) met Mrs (\w+), and (\w+) left", got[2]["text"])
     assert m[1] == smith != m[2] == m[3] and m[2].endswith("na")
-    assert got[3]["text"] == "Smith alone" and len({surrogates.initial(c) for c in "ABCDEFGHIJKLMNOPQRSTUVWXYZ"}) == 26
-
-
-def test_colliding_surrogates_are_drawn_again(spark, monkeypatch):
-    monkeypatch.setattr(surrogates, "_propose", lambda batches: (
-        b.assign(surrogate=[f"s{a + (i == 'a@b.cc')}" for i, a in zip(b["value"], b["attempt"])]) for b in batches))
-    entities = spark.createDataFrame([("email", v) for v in ("a@b.cc", "b@b.cc", "c@b.cc", "s2")], "kind string, value string")
-    got = {r["value"]: r["surrogate"] for r in surrogates.assign_surrogates(entities).collect()}
-    assert len(got) == 4 == len(set(got.values())) and "s2" not in got.values()
+    assert got[3]["text"] == "Smith alone" and len({surrogates.initial(b"k", c) for c in "ABCDEFGHIJKLMNOPQRSTUVWXYZ"}) == 26
