@@ -23,10 +23,18 @@ def labels(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/labels.parquet")
 
 
+#: Rows of an Arrow batch: texts are long, and a Python worker holds a batch several times.
+BATCH_ROWS = 1_000
+
+
 def prepared(spark: SparkSession) -> SparkSession:
-    """The session, with the package on the workers and a shared folder for lineage cuts."""
+    """The session, with the package on the workers, a shared folder for lineage cuts, and batches
+    of few rows (unless the session's are smaller still)."""
     ship_package(spark)
     ensure_checkpoint_dir(spark)
+    rows = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    if not 0 < int(spark.conf.get(rows)) <= BATCH_ROWS:
+        spark.conf.set(rows, str(BATCH_ROWS))
     return spark
 
 

@@ -10,7 +10,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tablegauge.llm.common import fresh, id_and_text
+from tablegauge.llm.common import fresh, id_and_text, pieces
 from tablegauge.session import broadcast_if_small, materialize
 
 WIDTH, PERCENT = 4, 80
@@ -23,7 +23,9 @@ SIDE, HASHES = 16, 3
 LEAST_EQUAL = 58
 #: Members of a key that meet in one piece, and rows of a task.
 CELL_ROWS, SHARD_ROWS = 2_000, 10_000
-CACHE_WORDS = 500_000
+#: Bytes of shortened sets of a task, and values compared at once.
+SHARD_BYTES, COMPARED = 24_000_000, 2_000_000
+CACHE_WORDS = 150_000
 _M1, _M2 = np.uint64(0xBF58476D1CE4E5B9), np.uint64(0x94D049BB133111EB)
 
 
@@ -84,26 +86,32 @@ def sketch(hashes: np.ndarray) -> tuple[np.ndarray, bytes]:
 
 def _sketch(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
     for batch in batches:
-        n, digest, keys, minima = [], [], [], []
-        for text in batch["text"]:
-            s = shingles(text)
-            n.append(len(s))
-            digest.append(xxhash.xxh3_128_hexdigest(s.tobytes()))
-            own = sketch(s) if len(s) else None
-            keys.append(own[0].view(np.int64) if own else None)
-            minima.append(own[1] if own else None)
-        yield pd.DataFrame({"doc_id": batch["doc_id"], "n_shingles": n, "digest": digest, "keys": keys, "minima": minima})
+        for part in pieces(batch, ["text"]):
+            n, digest, keys, minima = [], [], [], []
+            for text in part["text"]:
+                s = shingles(text)
+                n.append(len(s))
+                digest.append(xxhash.xxh3_128_hexdigest(s.tobytes()))
+                own = sketch(s) if len(s) else None
+                keys.append(own[0].view(np.int64) if own else None)
+                minima.append(own[1] if own else None)
+            yield pd.DataFrame({"doc_id": part["doc_id"].to_numpy(), "n_shingles": n, "digest": digest, "keys": keys, "minima": minima})
+    _WORDS.clear()
 
 
 def _sets(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
     for batch in batches:
-        yield batch[["a", "b"]].assign(hashes=[shingles(t).view(np.int64) for t in batch["text"]])
+        for part in pieces(batch, ["text"]):
+            yield part[["a", "b"]].assign(hashes=[shingles(t).view(np.int64) for t in part["text"]])
+    _WORDS.clear()
 
 
 def _short_sets(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
     """Sets with 16 bits of each hash: they never show fewer common values than the full sets."""
     for batch in batches:
-        yield pd.DataFrame({"doc_id": batch["doc_id"], "short": [shingles(t).astype(np.uint16).tobytes() for t in batch["text"]]})
+        for part in pieces(batch, ["text"]):
+            yield pd.DataFrame({"doc_id": part["doc_id"].to_numpy(), "short": [shingles(t).astype(np.uint16).tobytes() for t in part["text"]]})
+    _WORDS.clear()
 
 
 def _alike(frame: pd.DataFrame) -> pd.DataFrame:
@@ -133,10 +141,12 @@ def _alike(frame: pd.DataFrame) -> pd.DataFrame:
                 y = y[(equal.sum(1) >= LEAST_EQUAL) & ~keys[:, :place].any(1) & keys[:, SIDE:].any(1)]
             if len(y):
                 present[short[x]] = True
-                common = np.add.reduceat(present[np.concatenate([short[k] for k in y])].astype(np.int64),
-                                         np.concatenate([[0], np.cumsum(size[y])[:-1]]))
+                # Long sets are met a few at a time.
+                at = np.cumsum(size[y]) // COMPARED
+                common = np.minimum(np.concatenate([
+                    np.add.reduceat(present[np.concatenate([short[k] for k in some])], np.append(0, np.cumsum(size[some])[:-1]), dtype=np.int32)
+                    for some in np.split(y, np.flatnonzero(np.diff(at)) + 1)]), size[x])
                 present[short[x]] = False
-                common = np.minimum(common, size[x])
                 y = y[100 * common >= PERCENT * (size[x] + size[y] - common)]
                 found.append(np.stack([np.full(len(y), ids[x]), ids[y]], 1))
         start = end
@@ -288,7 +298,9 @@ def near_duplicates(docs: DataFrame, id_column: str = "doc_id", text_column: str
     detailed = one.select("doc_id", "minima", F.filter("keys", lambda k: k.bitwiseAND(F.lit(63)) < SIDE).alias("keys"))
     members = (mixed.join(detailed, "doc_id").join(short, "doc_id")
                .select("doc_id", "component", "minima", "short", F.explode("keys").alias("key")))
-    n_shards = max(1, -(-SIDE * mixed.count() // SHARD_ROWS))
+    # A member is in SIDE cells, with its shortened set in each.
+    load = mixed.join(one.select("doc_id", "n_shingles"), "doc_id").agg(F.count(F.lit(1)).alias("rows"), F.sum("n_shingles").alias("values")).first()
+    n_shards = max(1, -(-SIDE * load["rows"] // SHARD_ROWS), -(-SIDE * 2 * (load["values"] or 0) // SHARD_BYTES))
     pairs = (_cells(members).withColumn("shard", F.pmod(F.col("cell"), F.lit(n_shards)))
              .groupBy("shard").applyInPandas(_alike, "a bigint, b bigint").distinct())
     seen = stars.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
