@@ -5,11 +5,14 @@ from __future__ import annotations
 from collections.abc import Sequence
 from typing import NamedTuple
 
-from pyspark.sql import Column, DataFrame, SparkSession, Window
+import pandas as pd
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from tablegauge.functions.numbers import hash_number, next_prime
 from tablegauge.operators.ranking import hash_rank
+from tablegauge.session import materialize
 
 #: Candidates one array of the draw may hold; larger quotas are drawn in pieces.
 DRAW_CHUNK = 10_000
@@ -57,52 +60,51 @@ def bag_quotas(counts: DataFrame, fraction: float) -> DataFrame:
     return counts.withColumn("quota", F.bround(F.lit(fraction) * F.col("count")).cast("bigint"))
 
 
-def draw_positions(spark: SparkSession, quotas: Sequence[tuple[object, int, int]], n_bags: int,
-                   seed: int = 42, label_type: str = "int") -> DataFrame:
+@F.pandas_udf(T.LongType())
+def _prime_from(sizes: pd.Series) -> pd.Series:
+    """The least prime at or above each size."""
+    return sizes.map(next_prime)
+
+
+def draw_positions(quotas: DataFrame, n_bags: int, seed: int = 42) -> DataFrame:
     """``(bag_id, label, pos)``: for every bag and class, ``quota`` distinct positions.
 
-    Class positions are permuted by ``j -> (a*j + c) mod p`` with a prime ``p`` at or
-    above the class size and ``a``, ``c`` taken from a hash of (seed, bag, label).  A
-    permutation cannot repeat, and at most ``p - n`` images fall outside the class, so
-    ``quota + p - n`` candidates always suffice.  Nothing is shuffled.
+    ``quotas`` has a row ``(label, count, quota)`` per class.  Class positions are permuted by
+    ``j -> (a*j + c) mod p`` with a prime ``p`` at or above the class size and ``a``, ``c`` taken
+    from a hash of (seed, bag, label).  A permutation cannot repeat, and at most ``p - n`` images
+    fall outside the class, so ``quota + p - n`` candidates always suffice.  The number of classes
+    does not show in the plan.
     """
-    parts = []
-    bags = spark.range(1, n_bags + 1).select(F.col("id").cast("int").alias("bag_id"))
-    for label, n_class, quota in quotas:
-        if quota == 0:
-            continue
-        p = next_prime(n_class)
-        needed = quota + p - n_class
-        key = F.concat_ws("-", F.lit(str(seed)), F.col("bag_id").cast("string"), F.lit(str(label)))
-        plan = bags.select(
-            "bag_id", F.lit(label).cast(label_type).alias("label"),
-            (hash_number(F.concat(F.lit("a-"), key)) % F.lit(max(1, p - 1)) + 1).alias("a"),
-            (hash_number(F.concat(F.lit("c-"), key)) % F.lit(p)).alias("c"))
-        # The product a*j needs more than 64 bits only for very large quotas.
-        wide = "decimal(38,0)" if p * needed >= 2 ** 62 else "bigint"
-
-        def image(j: Column) -> Column:
-            return ((F.col("a").cast(wide) * j.cast(wide) + F.col("c")) % F.lit(p).cast(wide)).cast("bigint")
-
-        def kept(start: Column, stop: Column) -> Column:
-            return F.filter(F.transform(F.sequence(start, stop), image), lambda x: x < n_class)
-
-        if needed <= DRAW_CHUNK:
-            drawn = F.slice(kept(F.lit(0), F.lit(needed - 1)), 1, quota)
-        else:
-            plan = plan.withColumn("start", F.explode(F.sequence(
-                F.lit(0), F.lit(needed - 1).cast("bigint"), F.lit(DRAW_CHUNK).cast("bigint"))))
-            stop = F.least(F.col("start") + DRAW_CHUNK - 1, F.lit(needed - 1))
-            before = Window.partitionBy("bag_id").orderBy("start").rowsBetween(Window.unboundedPreceding, -1)
-            plan = plan.withColumn("done", F.coalesce(
-                F.sum(F.size(kept(F.col("start"), stop))).over(before), F.lit(0)))
-            drawn = F.slice(kept(F.col("start"), stop), F.lit(1),
-                            F.greatest(F.lit(0), F.lit(quota) - F.col("done")).cast("int"))
-        parts.append(plan.select("bag_id", "label", F.explode(drawn).alias("pos")))
-    result = parts[0]
-    for part in parts[1:]:
-        result = result.unionByName(part)
-    return result
+    classes = quotas.where("quota > 0").withColumn("p", _prime_from("count"))
+    classes = classes.withColumn("needed", F.col("quota") + F.col("p") - F.col("count"))
+    key = F.concat_ws("-", F.lit(str(seed)), F.col("bag_id").cast("string"), F.col("label").cast("string"))
+    # The number of rows is not that of the input: classes are spread before they unfold.
+    plan = (classes.select("*", F.explode(F.sequence(F.lit(1), F.lit(n_bags))).alias("bag_id"))
+            .withColumn("a", hash_number(F.concat(F.lit("a-"), key)) % F.greatest(F.lit(1), F.col("p") - 1) + 1)
+            .withColumn("c", hash_number(F.concat(F.lit("c-"), key)) % F.col("p")))
+    a, c, p = F.col("a"), F.col("c"), F.col("p")
+    # The product a*j needs more than 64 bits only for very large classes.
+    narrow = p.cast("double") * F.col("needed") < 2.0 ** 62
+    wide = "decimal(38,0)"
+
+    def image(j: Column) -> Column:
+        return F.when(narrow, (a * j + c) % p).otherwise(((a.cast(wide) * j.cast(wide) + c) % p.cast(wide)).cast("bigint"))
+
+    def kept(start: Column, stop: Column) -> Column:
+        return F.filter(F.transform(F.sequence(start, stop), image), lambda x: x < F.col("count"))
+
+    zero = F.lit(0).cast("bigint")
+    small = plan.where(F.col("needed") <= DRAW_CHUNK)
+    drawn = small.select("bag_id", "label", F.explode(F.slice(kept(zero, F.col("needed") - 1), F.lit(1), F.col("quota").cast("int"))).alias("pos"))
+    # Many positions are drawn in pieces, each told how many come before it.
+    large = plan.where(F.col("needed") > DRAW_CHUNK).withColumn(
+        "start", F.explode(F.sequence(zero, F.col("needed") - 1, F.lit(DRAW_CHUNK).cast("bigint"))))
+    stop = F.least(F.col("start") + DRAW_CHUNK - 1, F.col("needed") - 1)
+    before = Window.partitionBy("bag_id", "label").orderBy("start").rowsBetween(Window.unboundedPreceding, -1)
+    counted = large.repartition("label", "bag_id", "start").withColumn("n_kept", F.size(kept(F.col("start"), stop)))
+    pieces = counted.withColumn("done", F.coalesce(F.sum("n_kept").over(before), zero))
+    left = F.greatest(zero, F.col("quota") - F.col("done")).cast("int")
+    return drawn.unionByName(pieces.select("bag_id", "label", F.explode(F.slice(kept(F.col("start"), stop), F.lit(1), left)).alias("pos")))
 
 
 def draw_bags(df: DataFrame, n_bags: int, sample_size: int | float, label: str = "label",
@@ -112,20 +114,16 @@ def draw_bags(df: DataFrame, n_bags: int, sample_size: int | float, label: str =
     One shuffle ranks the rows within their class in hash order, one equi-join on
     (class, position) brings the drawn rows; both keys are unique on the row side.
     """
-    spark = df.sparkSession
-    # One row per class reaches the driver.
-    counts = {r[0]: r[1] for r in df.groupBy(label).count().collect()}
-    if len(counts) == 0 or None in counts:
+    counts = materialize(df.groupBy(F.col(label).alias("label")).agg(F.count(F.lit(1)).alias("count")))
+    total = counts.agg(F.sum("count").alias("n"), F.max("count").alias("largest"), F.count_if(F.col("label").isNull()).alias("nulls")).first()
+    if not total["n"] or total["nulls"]:
         raise ValueError("bags need a class label on every row")
-    fraction = sample_fraction(sample_size, sum(counts.values()))
-    quotas = [(value, n, round(fraction * n)) for value, n in sorted(counts.items(), key=lambda t: str(t[0]))]
+    fraction = sample_fraction(sample_size, total["n"])
     if fraction == 1.0:
         every = F.explode(F.sequence(F.lit(1), F.lit(n_bags))) if n_bags > 1 else F.lit(1)
         return df.select(every.alias("bag_id"), *df.columns)
-    ranked = hash_rank(df, [label], row_id, seed, max(counts.values()))
-    draws = draw_positions(spark, quotas, n_bags, seed, df.schema[label].dataType.simpleString())
-    if label != "label":
-        draws = draws.withColumnRenamed("label", label)
+    ranked = hash_rank(df, [label], row_id, seed, total["largest"])
+    draws = draw_positions(bag_quotas(counts, fraction), n_bags, seed).withColumnRenamed("label", label)
     # The optimizer cannot see how many rows the draws unfold to, so a broadcast is ruled out.
     return draws.hint("merge").join(ranked, [label, "pos"]).drop("pos").select("bag_id", *df.columns)
 

@@ -98,3 +98,12 @@ def test_bags_on_disk(spark, rows, tmp_path):
 def test_bag_metadata(rows):
     row = bag_sink.bag_metadata(Table(rows, ("features",))).first()
     assert row["classes"] == {"0": 1000, "1": 500} and row["n_samples"] == 1500 and row["column_names"] == ["features"]
+
+
+def test_many_classes_in_one_plan(spark):
+    """A class is a row of the plan's input, not a branch of the plan."""
+    rows = spark.range(16_000).select(F.col("id").alias("row_id"), (F.col("id") % 4000).cast("int").alias("label"))
+    bags = sampling.draw_bags(rows, 2, 0.5)
+    assert plan_of(bags).count("Union") <= 1
+    per_class = bags.groupBy("bag_id", "label").agg(F.count(F.lit(1)).alias("n"), F.count_distinct("row_id").alias("d"))
+    assert per_class.count() == 8000 and per_class.where("n <> 2 OR d <> 2").isEmpty()
