@@ -141,7 +141,7 @@ def dummy_code(df: DataFrame, nominal: Sequence[str], drop_first: bool = False,
     # The collected list is bounded: more columns than this are refused.
     rows = found.limit(MAX_DUMMY_COLUMNS + 1).collect()
     if len(rows) > MAX_DUMMY_COLUMNS:
-        raise ValueError(f"more than {MAX_DUMMY_COLUMNS} dummy columns; use dummy_vector instead")
+        raise ValueError(f"more than {MAX_DUMMY_COLUMNS} dummy columns; sparse_dummies has no such limit")
     levels: dict[str, list[str]] = {c: [] for c in known}
     for row in rows:
         levels[row["column"]].append(row["value"])
