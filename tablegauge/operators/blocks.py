@@ -140,7 +140,8 @@ def scan_pairs(df: DataFrame, kernel: Kernel, schema: str, by: Sequence[str] = (
             (s * 2 != F.col("_blocks")) | (F.col("_block") < half) | (s == 0),
             F.pmod(F.col("_block") + s, F.col("_blocks")))), lambda p: p.isNotNull())
     left = left.withColumn("_partner", F.explode(partners))
-    total = -(-largest // block_rows)
+    # As many tasks as there are blocks in all groups.
+    total = sizes.agg(F.sum(F.ceil(F.col("_n") / block_rows))).first()[0] if by else -(-largest // block_rows)
     # Structs compare null fields as equal, so a null group meets itself.
     group = ["_g"] if by else []
     left = left.withColumns({"_g": F.struct(*by)} if by else {}).repartition(int(total), *group, "_partner")
@@ -161,23 +162,23 @@ def scan_cross(left: DataFrame, right: DataFrame, kernel: Kernel, schema: str,
     """
     by = list(by)
 
-    def blocked(df: DataFrame, prefix: str, extra: Sequence[str]) -> tuple[DataFrame, int]:
-        largest = group_sizes(df, by).agg(F.max("_n")).first()[0] or 1
-        count = -(-int(largest) // block_rows)
+    def blocked(df: DataFrame, prefix: str, extra: Sequence[str]) -> tuple[DataFrame, int, int]:
+        n_groups, largest = group_sizes(df, by).agg(F.count(F.lit(1)), F.max("_n")).first()
+        count = -(-int(largest or 1) // block_rows)
         key = f"_{prefix}block"
         rows = df.withColumn(key, F.pmod(F.xxhash64(id_col, F.lit("block")), F.lit(count)).cast("int"))
-        return _packed(rows, [*by, key], id_col, features, extra, prefix), count
+        return _packed(rows, [*by, key], id_col, features, extra, prefix), count, n_groups if by else 1
 
-    ls, n_left = blocked(left, "l", list(extra_left))
-    rs, n_right = blocked(right, "r", list(extra_right))
+    ls, n_left, n_groups = blocked(left, "l", list(extra_left))
+    rs, n_right, _ = blocked(right, "r", list(extra_right))
     ls = ls.withColumn("_rblock", F.explode(F.sequence(F.lit(0), F.lit(n_right - 1))))
     group = ["_g"] if by else []
     if by:
         ls, rs = ls.withColumn("_g", F.struct(*by)), rs.withColumn("_g", F.struct(*by)).drop(*by)
     if n_right >= n_left:
         # One shuffle: the join finds the blocks where they are.
-        ls = ls.repartition(2 * n_right, *group, "_rblock")
+        ls = ls.repartition(max(1, 2 * n_right * n_groups), *group, "_rblock")
     else:
-        ls = ls.repartition(2 * n_left, *group, "_rblock", "_lblock")
+        ls = ls.repartition(max(1, 2 * n_left * n_groups), *group, "_rblock", "_lblock")
     pairs = ls.join(rs, [*group, "_rblock"]).drop(*group).withColumn("same", F.lit(False))
     return _run(pairs, by, list(extra_left), list(extra_right), [], kernel, schema, False)

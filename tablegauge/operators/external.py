@@ -65,6 +65,10 @@ EXTERNAL_INDICES = {
 ENTROPY_OF_PARTITION = "greatest(0D, (log_clusters - log_cells) / n / ln(2D))"
 
 
+#: Margins of one side that one task pairs with the other side.
+MARGIN_SLICE = 64
+
+
 def expected_mutual_info(cells: DataFrame, by: Sequence[str] = ()) -> DataFrame:
     """``(by..., expected_mi)`` under random labelings with the same margins.
 
@@ -89,7 +93,13 @@ def expected_mutual_info(cells: DataFrame, by: Sequence[str] = ()) -> DataFrame:
         listed("cluster", "b").withColumnRenamed("n_b", "n").withColumn("a", F.lit(None).cast(
             "array<struct<m:bigint,times:bigint>>"))))
     joined = sides.groupBy(*by).agg(F.max("n").alias("n"), F.first("a", True).alias("a"), F.first("b", True).alias("b"))
-    pairs = (joined.select(*by, "n", F.explode("a").alias("a"), "b")
+    # Pairs are dealt out before they are formed: slices of the one side, each with the other side.
+    slices = F.transform(F.sequence(F.lit(0), F.floor((F.size("a") - 1) / MARGIN_SLICE).cast("int")),
+                         lambda i: F.struct(i.alias("slice"), F.slice("a", i * MARGIN_SLICE + 1, MARGIN_SLICE).alias("a")))
+    spark = cells.sparkSession
+    n_tasks = max(2 * spark.sparkContext.defaultParallelism, int(spark.conf.get("spark.sql.shuffle.partitions")))
+    dealt = joined.select(*by, "n", F.inline(slices), "b").repartition(n_tasks, *by, "slice")
+    pairs = (dealt.select(*by, "n", F.explode("a").alias("a"), "b")
              .select(*by, "n", "a", F.explode("b").alias("b"))
              .select(*by, F.col("n").cast("double").alias("n"),
                      F.col("a.m").cast("double").alias("a"), F.col("b.m").cast("double").alias("b"),
