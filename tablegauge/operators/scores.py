@@ -32,8 +32,12 @@ def weighted_f1(df: DataFrame, label: str = "label", prediction: str = "predicti
     On a tie the smaller label is the majority.  At most a few rows per group pass the
     first aggregation.
     """
+    return f1_of_counts(prediction_counts(df, label, prediction, by), by)
+
+
+def f1_of_counts(cells: DataFrame, by: Sequence[str] = ()) -> DataFrame:
+    """:func:`weighted_f1` from confusion counts ``(by..., label, prediction, n)``."""
     by = list(by)
-    cells = prediction_counts(df, label, prediction, by)
     hit = F.when(F.col("label") == F.col("prediction"), F.col("n")).otherwise(0)
     zero = F.lit(0).cast("bigint")
     # Every cell counts for its true class and for its predicted one.

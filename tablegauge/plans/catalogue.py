@@ -692,41 +692,47 @@ def f1_knn(spark: SparkSession, sf_dir: str) -> DataFrame:
                         F.col("prediction").cast("int").alias("prediction"))
 
 
-#: Grids that fit the smoke check; the library's defaults are the full ones.
-SMALL_GRIDS: dict[str, dict] = {
-    "decision tree": {"depths": [2, 5]},
-    "random forest": {"depths": [4], "trees": [3, 10]},
-    "logistic regression": {"cs": [0.1, 10.0]},
-    "k-nearest neighbor": {"ks": [3, 7]},
-    "xgboost": {"rates": [0.175], "depths": [2], "rounds": 10},
-    "support vector machine": {"cs": [1.0], "n_components": 32, "iterations": 10, "max_tries": 6},
-}
+#: Boosting alone has no fits to share: its full grid of 18 points takes hours, see the README.
+SHORT_BOOSTING = {"rates": [0.175], "depths": [2], "rounds": 10, "max_tries": 2}
+FAMILY_NAMES = {"decision_tree": "decision tree", "random_forest": "random forest", "logistic": "logistic regression",
+                "knn_search": "k-nearest neighbor", "gbt": "xgboost", "svm_rff": "support vector machine"}
+
+
+def _apart(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Embeddings moved apart by their class: every family can learn it without an error."""
+    points = fx.embeddings(spark, sf_dir).drop("cluster")
+    return points.withColumn("features", F.concat(F.array(F.when(F.col("label") == 1, 40.0).otherwise(-40.0)), F.slice("features", 1, 4)))
 
 
-def _f1_query(model: str) -> Query:
+def _f1_query(model: str, source: Callable[[SparkSession, str], DataFrame]) -> Query:
     def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-        options = {model: {"max_tries": 2, **SMALL_GRIDS[model]}}
-        return true_f1.true_f1_scores(fx.document_points(spark, sf_dir), [model], options=options)
+        found = true_f1.true_f1_scores(source(spark, sf_dir), [model], options={"xgboost": SHORT_BOOSTING})
+        return found.select("model", F.round("true_f1", 9).alias("true_f1"))
     return run
 
 
-for _key, _name in (("decision_tree", "decision tree"), ("random_forest", "random forest"),
-                    ("logistic", "logistic regression"), ("knn_search", "k-nearest neighbor"),
-                    ("gbt", "xgboost"), ("svm_rff", "support vector machine")):
-    QUERIES[f"f1_{_key}"] = _f1_query(_name)
+for _key, _name in FAMILY_NAMES.items():
+    QUERIES[f"f1_{_key}"] = _f1_query(_name, fx.document_points)
+    QUERIES[f"f1_{_key}_planted"] = _f1_query(_name, _apart)
 
 
-#: One-point grids: one fit per family and task.
-ONE_POINT = {"decision tree": {"depths": [4]}, "random forest": {"depths": [4], "trees": [5]},
-             "logistic regression": {"cs": [1.0]}, "k-nearest neighbor": {"ks": [5]},
-             "xgboost": {"rates": [0.3], "depths": [2], "rounds": 3},
-             "support vector machine": {"cs": [1.0], "n_components": 16, "iterations": 5, "max_tries": 6}}
+@query("f1_svm_late_planted")
+def f1_svm_late_planted(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The thirteenth attempt: the RBF kernel and polynomials of degree 2 to 5, each with all penalties."""
+    value = true_f1.support_vector_f1(_apart(spark, sf_dir), first_try=12)
+    return spark.createDataFrame([("support vector machine", round(value, 9))], "model string, true_f1 double")
 
 
 @query("f1_all")
 def f1_all(spark: SparkSession, sf_dir: str) -> DataFrame:
-    options = {m: {"max_tries": 1, **o} for m, o in ONE_POINT.items()}
-    return true_f1.true_f1_scores(fx.document_points(spark, sf_dir), options=options)
+    return true_f1.true_f1_scores(fx.document_points(spark, sf_dir), options={"xgboost": SHORT_BOOSTING})
+
+
+#: One-point grids: one fit per family and task of the meta-models.
+ONE_POINT = {"decision tree": {"depths": [4]}, "random forest": {"depths": [4], "trees": [5]},
+             "logistic regression": {"cs": [1.0]}, "k-nearest neighbor": {"ks": [5]},
+             "xgboost": {"rates": [0.3], "depths": [2], "rounds": 3},
+             "support vector machine": {"cs": [1.0], "n_components": 16, "max_scans": 10, "max_tries": 6}}
 
 
 _TRAINED: dict[tuple[str, str], tuple] = {}

@@ -6,27 +6,23 @@ class is not learned, the rows are split again.
 
 from __future__ import annotations
 
-import math
 import warnings
-from collections.abc import Callable, Iterator, Sequence
+from collections.abc import Callable, Sequence
 from typing import NamedTuple
 
-import numpy as np
-import pandas as pd
-from pyspark.ml import Pipeline
-from pyspark.ml.classification import (
-    DecisionTreeClassifier, GBTClassifier, LinearSVC, LogisticRegression, RandomForestClassifier)
-from pyspark.ml.feature import PolynomialExpansion
-from pyspark.ml.functions import array_to_vector
+from pyspark.ml.classification import DecisionTreeClassifier, GBTClassifier, RandomForestClassifier
 from pyspark.ml.tuning import CrossValidator, ParamGridBuilder
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from tablegauge.functions.kernels import RandomFourier, TensorSketch
 from tablegauge.functions.vectors import as_vector
 from tablegauge.operators.classes import class_roles
+from tablegauge.operators.linear_models import fit_many, fold_counts, hinge, logistic, pack_labelled, predict
 from tablegauge.operators.neighbors import fold_neighbors, nearest_neighbors, vote
 from tablegauge.operators.sampling import stratified_folds, stratified_split
-from tablegauge.operators.scores import WeightedF1Evaluator, weighted_f1
+from tablegauge.operators.scores import WeightedF1Evaluator, f1_of_counts, weighted_f1
+from tablegauge.operators.tree_prefixes import fit_folds, prefix_counts
 from tablegauge.session import materialize
 
 FOLDS = 5
@@ -43,11 +39,11 @@ BOOST_RATES = (0.05, 0.175, 0.3)
 BOOST_DEPTHS = (1, 2, 4, 8, 16, 30)
 DEPTH_SHARES = (1.0, 0.75, 0.5, 0.25)
 POLY_DEGREES = (2, 3, 4, 5)
-#: Terms a polynomial expansion may have.
-MAX_POLY_TERMS = 5_000
+#: Hashed features of a kernel, and scans of the rows for one search over linear models.
+KERNEL_FEATURES, LINEAR_SCANS = 256, 100
 
 
-class UnableToLearnBothClassesError(Exception):
+class ClassesNotLearned(Exception):
     """No attempt predicted both classes."""
 
 
@@ -89,8 +85,8 @@ def search(estimator, grid: list[dict], split: Split, parallelism: int = 4):
 
 
 def _measure(predicted: DataFrame) -> tuple[float, float, float]:
-    """(weighted, majority, minority) F1."""
-    row = weighted_f1(predicted).first()
+    """(weighted, majority, minority) F1 of predicted rows or of confusion counts."""
+    row = (f1_of_counts(predicted) if "n" in predicted.columns else weighted_f1(predicted)).first()
     return (row["weighted_f1"], row["f1_majority"], row["f1_minority"]) if row else (0.0, 0.0, 0.0)
 
 
@@ -113,41 +109,67 @@ def _common(weight: str) -> dict:
     return {"featuresCol": "vector", "labelCol": "label", "weightCol": weight}
 
 
-def decision_tree_f1(df: DataFrame, seed: int = 42, depths: Sequence[int] | None = None,
-                     max_tries: int = MAX_TRIES) -> float | None:
-    tree = DecisionTreeClassifier(**_common("balanced"), maxDepth=MAX_TREE_DEPTH, seed=seed)
+def _best_point(counts: DataFrame, axes: Sequence[str], order: Sequence[tuple]) -> tuple:
+    """The grid point with the best mean of the folds' weighted F1; of equal ones the first in ``order``.
+
+    A fold in which a class is missing counts 0.
+    """
+    folds = f1_of_counts(counts, by=[*axes, "fold"]).groupBy(*axes).agg(F.sum("weighted_f1").alias("score"))
+    # One row per grid point.
+    scored = {tuple(r[a] for a in axes): r["score"] for r in folds.collect()}
+    return max(order, key=lambda point: scored.get(point, 0.0))
+
+
+def _cut_f1(df: DataFrame, seed: int, learner, depths: Sequence[int] | None, sizes: Sequence[int], max_tries: int) -> float | None:
+    """Search over depths and numbers of trees by one deep fit per fold."""
+    learner = learner.copy({learner.maxDepth: min(MAX_TREE_DEPTH, max(depths))} if depths else {})
 
     def attempt(split: Split, i: int) -> DataFrame:
-        found = depths or _depths(tree.fit(split.train).depth)
-        grid = ParamGridBuilder().addGrid(tree.maxDepth, list(found)).build()
-        return search(tree, grid, split).transform(split.test)
+        models = fit_folds(learner.fit, split.train, FOLDS)
+        found = list(depths or _depths(models[-1].depth()))
+        counts = prefix_counts(split.train, models, found, sizes)
+        size, depth = _best_point(counts, ["size", "depth"], [(m, d) for m in sizes for d in found])
+        # The best point's model of all training rows is a prefix of the deep one.
+        whole = prefix_counts(split.test.withColumn("fold", F.lit(-1)), {-1: models[-1]}, [depth], [size])
+        return whole.select("label", "prediction", "n")
 
     return _with_retries(df, seed, attempt, max_tries)
 
 
+def decision_tree_f1(df: DataFrame, seed: int = 42, depths: Sequence[int] | None = None,
+                     max_tries: int = MAX_TRIES) -> float | None:
+    tree = DecisionTreeClassifier(**_common("balanced"), maxDepth=MAX_TREE_DEPTH, seed=seed)
+    return _cut_f1(df, seed, tree, depths, [1], max_tries)
+
+
 def random_forest_f1(df: DataFrame, seed: int = 42, depths: Sequence[int] | None = None,
                      trees: Sequence[int] = RF_TREES, max_tries: int = MAX_TRIES) -> float | None:
     forest = RandomForestClassifier(**_common("balanced"), maxDepth=MAX_TREE_DEPTH, seed=seed,
                                     featureSubsetStrategy="sqrt", numTrees=max(trees))
-
-    def attempt(split: Split, i: int) -> DataFrame:
-        found = depths or _depths(max(t.depth for t in forest.fit(split.train).trees))
-        grid = (ParamGridBuilder().addGrid(forest.numTrees, list(trees))
-                .addGrid(forest.maxDepth, list(found)).build())
-        return search(forest, grid, split).transform(split.test)
-
-    return _with_retries(df, seed, attempt, max_tries)
-
-
-def logistic_regression_f1(df: DataFrame, seed: int = 42, cs: Sequence[float] = LR_C,
+    return _cut_f1(df, seed, forest, depths, list(trees), max_tries)
+
+
+def _linear_f1(split: Split, train: DataFrame, kernels: Sequence[Callable | None], cs: Sequence[float], loss: Callable,
+               penalty: str, max_scans: int) -> DataFrame:
+    """Test rows predicted by the best kernel and C; per kernel all folds and penalties share their scans."""
+    best = None
+    for kernel in kernels:
+        blocks = pack_labelled(train, "weight", kernel)
+        models = fit_many(blocks, cs, FOLDS, loss, penalty, max_scans)
+        counts = fold_counts(blocks, models)
+        (c,) = _best_point(counts, ["cost"], [(float(c),) for c in cs])
+        scores = f1_of_counts(counts.where(F.col("cost") == c), by=["fold"]).agg(F.sum("weighted_f1")).first()[0] or 0.0
+        if best is None or scores > best[0]:
+            best = scores, kernel, models.one(-1, c)
+    _, kernel, (coefficients, intercept) = best
+    return predict(split.test, coefficients, intercept, kernel)
+
+
+def logistic_regression_f1(df: DataFrame, seed: int = 42, cs: Sequence[float] = LR_C, max_scans: int = LINEAR_SCANS,
                            max_tries: int = MAX_TRIES) -> float | None:
-    """L1 penalty.  The library averages the loss, so its penalty is 1 / (C * sum of weights)."""
-    regression = LogisticRegression(**_common("balanced"), elasticNetParam=1.0, standardization=False,
-                                    maxIter=500, tol=0.01)
-
+    """L1 penalty."""
     def attempt(split: Split, i: int) -> DataFrame:
-        grid = ParamGridBuilder().addGrid(regression.regParam, [1.0 / (c * split.n_train) for c in cs]).build()
-        return search(regression, grid, split).transform(split.test)
+        return _linear_f1(split, split.train.withColumnRenamed("balanced", "weight"), [None], cs, logistic, "l1", max_scans)
 
     return _with_retries(df, seed, attempt, max_tries)
 
@@ -188,22 +210,6 @@ def boosting_f1(df: DataFrame, seed: int = 42, rates: Sequence[float] = BOOST_RA
     return _with_retries(df, seed, attempt, max_tries)
 
 
-def random_fourier(df: DataFrame, n_components: int, seed: int, gamma: float, width: int,
-                   out: str = "fourier") -> DataFrame:
-    """Add a vector whose inner products approximate exp(-gamma * squared distance)."""
-    rng = np.random.default_rng(seed)
-    w = rng.normal(scale=np.sqrt(2 * gamma), size=(width, n_components))
-    shift = rng.uniform(0, 2 * np.pi, n_components)
-
-    @F.pandas_udf("array<double>")
-    def project(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
-        for x in batches:
-            z = np.sqrt(2.0 / n_components) * np.cos(np.stack(x.to_numpy()) @ w + shift)
-            yield pd.Series(list(z))
-
-    return df.withColumn(out, array_to_vector(project("features")))
-
-
 def kernel_width(df: DataFrame) -> tuple[float, int]:
     """(gamma, d) with gamma = 1 / (d * variance of all feature values)."""
     sums = df.agg(
@@ -226,42 +232,27 @@ def _svm_weights(split: Split, i: int) -> tuple[float, float]:
     return 1.0, split.ratio + 2 * i
 
 
-def support_vector_f1(df: DataFrame, seed: int = 42, cs: Sequence[float] = SVM_C,
-                      n_components: int = 256, iterations: int = 100, max_tries: int = MAX_TRIES) -> float:
-    """Linear SVM over random Fourier features: an approximation of the RBF kernel.
+def support_vector_f1(df: DataFrame, seed: int = 42, cs: Sequence[float] = SVM_C, n_components: int = KERNEL_FEATURES,
+                      max_scans: int = LINEAR_SCANS, max_tries: int = MAX_TRIES, first_try: int = 0) -> float:
+    """Linear SVM over explicit kernel features: random waves for the RBF kernel.
 
-    Attempts weight the minority more and more; the last ones also try polynomials.
+    Attempts weight the minority more and more; the last ones (from the 13th on) also try
+    polynomials of every degree by hashed products.
     """
     gamma, width = kernel_width(df)
 
     def attempt(split: Split, i: int) -> DataFrame:
+        i += first_try
         big, small = _svm_weights(split, i)
         weight = F.when(F.col("label") == split.minority, float(small)).otherwise(float(big))
-
-        def prepared(rows: DataFrame) -> DataFrame:
-            return random_fourier(rows, n_components, seed + i, gamma, width).withColumn("weight", weight)
-
-        train = materialize(prepared(split.train))
-        weighted = split._replace(train=train)
-        regs = [1.0 / (c * split.n_train) for c in cs]
-        svm = LinearSVC(featuresCol="fourier", labelCol="label", weightCol="weight", maxIter=iterations,
-                        standardization=False)
-        grid = ParamGridBuilder().addGrid(svm.regParam, regs).build()
-        estimators = [(svm, grid)]
+        kernels: list[Callable | None] = [RandomFourier(width, n_components, seed + i, gamma)]
         if i >= 12:
-            for degree in POLY_DEGREES:
-                if math.comb(width + degree, degree) > MAX_POLY_TERMS:
-                    break
-                expansion = PolynomialExpansion(inputCol="vector", outputCol="poly", degree=degree)
-                poly = LinearSVC(featuresCol="poly", labelCol="label", weightCol="weight", maxIter=iterations)
-                estimators.append((Pipeline(stages=[expansion, poly]), ParamGridBuilder().addGrid(poly.regParam, regs).build()))
-        models = [search(e, g, weighted) for e, g in estimators]
-        scored = [(WeightedF1Evaluator().evaluate(m.transform(train)), n) for n, m in enumerate(models)]
-        return models[max(scored)[1] if len(models) > 1 else 0].transform(prepared(split.test))
+            kernels += [TensorSketch(width, n_components, seed + i, degree, gamma) for degree in POLY_DEGREES]
+        return _linear_f1(split, split.train.withColumn("weight", weight), kernels, cs, hinge, "l2", max_scans)
 
     value = _with_retries(df, seed, attempt, max_tries, both=True)
     if value is None:
-        raise UnableToLearnBothClassesError("no attempt learned both classes")
+        raise ClassesNotLearned("no attempt learned both classes")
     return value
 
 
@@ -283,7 +274,7 @@ def true_f1_scores(df: DataFrame, models: Sequence[str] = tuple(FAMILIES), seed:
     for model in models:
         try:
             value = FAMILIES[model](rows, seed=seed, **(options or {}).get(model, {}))
-        except UnableToLearnBothClassesError as error:
+        except ClassesNotLearned as error:
             warnings.warn(f"{model}: {error}", stacklevel=2)
             continue
         results.append((model, value))

@@ -140,3 +140,30 @@ def test_large_groups_are_clustered_as_tables(spark, monkeypatch):
             a, b = ({r["row_id"]: r[name] for r in rs if r["bag_id"] == bag} for rs in (want, got))
             assert a.keys() == b.keys() and len(a) in (20, 60)
             assert same_partition(np.array([a[i] for i in sorted(a)]), np.array([b[i] for i in sorted(a)]))
+
+
+def test_starts_share_scans_and_beat_single_fits(spark, blobs):
+    from pyspark.ml.clustering import KMeans
+    from tablegauge.functions.vectors import as_vector
+    from tablegauge.operators.clustering.kmeans import fit_kmeans
+
+    rows = frame(spark, blobs)
+    vectors = rows.select(as_vector("features").alias("features")).cache()
+    for k, room in ((3, 1e-9), (5, 5e-3)):                # of three blobs there is one best partition
+        fit = fit_kmeans(rows, k)
+        theirs = min(KMeans(k=k, seed=s, maxIter=300).fit(vectors).summary.trainingCost for s in range(10))
+        assert len(fit.costs) == 10 and fit.cost == min(fit.costs) <= theirs * (1 + room) and fit.scans < 60
+    d = ((blobs[:, None] - fit.centers[None]) ** 2).sum(2)
+    assert fit.cost == pytest.approx(d.min(1).sum()) and np.bincount(d.argmin(1), minlength=5).tolist() == fit.sizes.tolist()
+    assert np.allclose([blobs[d.argmin(1) == c].mean(0) for c in range(5)], fit.centers, atol=1e-3)
+
+
+def test_kmeans_of_odd_tables(spark):
+    from tablegauge.operators.clustering.kmeans import fit_kmeans
+
+    same = frame(spark, np.ones((7, 2)))
+    assert fit_kmeans(same, 3).cost == 0 and set(labels_of(kmeans(same, 3))) == {0}
+    far = frame(spark, np.array([[1e9], [1e9 + 1], [1e9 + 10], [1e9 + 11]]))
+    assert same_partition(labels_of(kmeans(far, 2)), np.array([0, 0, 1, 1]))
+    with pytest.raises(ValueError):
+        fit_kmeans(same.limit(0), 2)

@@ -59,7 +59,7 @@ def test_votes(spark):
 OPTIONS = {"decision tree": {"depths": [3]}, "random forest": {"depths": [3], "trees": [5]},
            "logistic regression": {"cs": [1.0]}, "k-nearest neighbor": {"ks": [5]},
            "xgboost": {"rates": [0.3], "depths": [2], "rounds": 5},
-           "support vector machine": {"cs": [10.0], "n_components": 64, "iterations": 20}}
+           "support vector machine": {"cs": [10.0], "n_components": 64, "max_scans": 30}}
 
 
 def test_every_family_learns_separated_classes(points):
@@ -77,8 +77,8 @@ def test_hopeless_classes(points):
     # Features without information: all 24 test rows are put into the class of 22 of them.
     hopeless = rows.withColumn("label", (F.col("row_id") < 5).cast("int"))
     assert true_f1.decision_tree_f1(hopeless, depths=[1], max_tries=1) == pytest.approx(2 * 22 / (2 * 22 + 2) / (1 + 22 / 2))
-    with pytest.raises(true_f1.UnableToLearnBothClassesError):
-        true_f1.support_vector_f1(rows, cs=[1.0], n_components=4, iterations=2, max_tries=1)
+    with pytest.raises(true_f1.ClassesNotLearned):
+        true_f1.support_vector_f1(rows, cs=[1.0], n_components=4, max_scans=3, max_tries=1)
 
 
 def test_depth_shares():
