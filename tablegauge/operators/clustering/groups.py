@@ -16,6 +16,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from tablegauge.operators.blocks import distances, group_extent, group_sizes
+from tablegauge.operators.clustering.lloyd import ROUNDS, first_centers, moved, nearest, sums
 from tablegauge.session import match_groups, materialize, spread
 
 #: Most rows of a group that one task clusters; larger groups go through the whole-table operators.
@@ -31,30 +32,20 @@ def z_scores(x: np.ndarray) -> np.ndarray:
     return (x - x.mean(0)) / np.where(std == 0, 1.0, std)
 
 
-def kmeans_labels(x: np.ndarray, k: int, seed: int, n_init: int = 10, rounds: int = 300) -> np.ndarray:
-    """Best of ``n_init`` runs: spread-out starts, then alternating assignment and means."""
-    rng = np.random.default_rng(seed)
-    best, best_cost = np.zeros(len(x), int), np.inf
-    k = min(k, len(x))
-    for _ in range(n_init):
-        centers = x[[rng.integers(len(x))]]
-        for _ in range(1, k):
-            gap = distances(x, centers, squared=True).min(1)
-            total = gap.sum()
-            pick = rng.choice(len(x), p=gap / total) if total > 0 else rng.integers(len(x))
-            centers = np.vstack([centers, x[pick]])
-        for _ in range(rounds):
-            d = distances(x, centers, squared=True)
-            labels = d.argmin(1)
-            moved = np.vstack([x[labels == c].mean(0) if (labels == c).any() else x[d.min(1).argmax()]
-                               for c in range(k)])
-            if np.allclose(moved, centers, rtol=0, atol=1e-10):
-                break
-            centers = moved
-        cost = d.min(1).sum()
-        if cost < best_cost:
-            best, best_cost = labels, cost
-    return best
+def kmeans_labels(x: np.ndarray, k: int, seed: int, n_init: int = 10, rounds: int = ROUNDS) -> np.ndarray:
+    """Best of ``n_init`` starts, by the steps of the whole-table operator."""
+    centers, middle = first_centers(x, min(k, len(x)), n_init, seed)
+    costs, active = np.full(n_init, np.inf), np.arange(n_init)
+    for _ in range(rounds):
+        now = centers[active]
+        found = sums(x - middle, now)
+        new, still = moved(found, now)
+        costs[active] = found.reshape(*now.shape[:2], -1)[..., -1].sum(1)
+        centers[active] = np.where(still[:, None, None], now, new)
+        active = active[~still]
+        if not len(active):
+            break
+    return nearest(x, centers[costs.argmin()] + middle)
 
 
 def ward_merges(x: np.ndarray, sizes: np.ndarray) -> np.ndarray:
@@ -194,6 +185,8 @@ def cluster_groups(df: DataFrame, algorithms: Sequence[str] = tuple(ALGORITHMS),
     ``n_clusters`` is a number, ``'n_classes'`` (distinct labels of the group) or the name
     of a column.  Features come back standardised within the group.  Groups beyond
     :data:`MAX_GROUP_ROWS` are clustered one by one as whole tables; there can be few of them.
+    k-means takes the same starts and steps on both sides of that limit; Ward and the
+    density-based clustering are exact on both, spectral labels agree where the eigenvalues part.
     """
     by, algorithms = list(by), list(algorithms)
     unknown = [a for a in algorithms if a not in ALGORITHMS]
@@ -242,9 +235,12 @@ def _as_table(rows: DataFrame, algorithms: Sequence[str], n_clusters: int | str,
         wanted = F.count_distinct(label) if n_clusters == "n_classes" else F.max(n_clusters)
         n_clusters = int(rows.agg(wanted).first()[0])
     numbered = rows if "row_id" in rows.columns else number_rows(rows)
-    numbered = numbered.withColumnRenamed(features, "features")
-    found = cluster_table(numbered, n_clusters, algorithms, standardize=standardize, seed=seed)
-    return found.withColumnRenamed("features", features)
+    own = numbered.select("row_id", F.col(features).alias("features"))
+    found = cluster_table(own, n_clusters, algorithms, standardize=standardize, seed=seed)
+    found = found.select("row_id", F.col("features").alias("_features"), *[F.col(a).alias(f"_{a}") for a in algorithms])
+    joined = numbered.join(found, "row_id")
+    return joined.select(*[F.col("_features").alias(c) if c == features else F.col(c) for c in rows.columns],
+                         *[F.col(f"_{a}").alias(a) for a in algorithms])
 
 
 def long_clusters(df: DataFrame, algorithms: Sequence[str], columns: Sequence[str]) -> DataFrame:

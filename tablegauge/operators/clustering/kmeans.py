@@ -11,12 +11,12 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tablegauge.operators.clustering.groups import cluster_groups
+from tablegauge.operators.clustering.lloyd import ROUNDS, TOLERANCE, first_centers, moved, sums
+from tablegauge.operators.clustering.lloyd import nearest as lloyd_nearest
 from tablegauge.operators.scans import Scanner, pack
 
 #: Rows from which the first centres of all starts are drawn.
 SEED_ROWS = 10_000
-#: Distances that a task holds at once.
-DISTANCES = 2_000_000
 
 
 @dataclass(frozen=True)
@@ -30,34 +30,12 @@ class KMeansFit:
     scans: int
 
 
-def _squares(x: np.ndarray, centers: np.ndarray) -> np.ndarray:
-    """Squared distances, rows by centres."""
-    return np.maximum((x * x).sum(1)[:, None] - 2.0 * x @ centers.T + (centers * centers).sum(1), 0.0)
-
-
-def _spread_centers(sample: np.ndarray, k: int, rng: np.random.Generator, tries: int = 5) -> np.ndarray:
-    """``k`` rows of the sample, each drawn by its squared distance to those before it; of several
-    draws the one that lowers the cost most is kept."""
-    centers = [sample[rng.integers(len(sample))]]
-    near = _squares(sample, centers[0][None])[:, 0]
-    while len(centers) < k:
-        total = near.sum()
-        if total <= 0:
-            centers.append(sample[rng.integers(len(sample))])
-            continue
-        drawn = rng.choice(len(sample), tries, p=near / total)
-        options = np.minimum(near[:, None], _squares(sample, sample[drawn]))
-        best = options.sum(0).argmin()
-        centers.append(sample[drawn[best]])
-        near = options[:, best]
-    return np.array(centers)
-
-
 def fit_kmeans(df: DataFrame, k: int, features: str = "features", seed: int = 42,
-               n_init: int = 10, max_iter: int = 300, tol: float = 1e-4) -> KMeansFit:
+               n_init: int = 10, max_iter: int = ROUNDS, tol: float = TOLERANCE) -> KMeansFit:
     """The cheapest of ``n_init`` starts; every scan of the rows moves the centres of all of them.
 
-    The first centres come from the ``SEED_ROWS`` rows with the least hashes.  A start ends when
+    The first centres come from the ``SEED_ROWS`` rows with the least hashes (all rows of a table
+    that has no more).  A start ends when
     no centre moves by more than ``tol``; a centre without rows stays where it is.
     """
     rows = df.select(F.col(features).cast("array<double>").alias("features"))
@@ -65,43 +43,19 @@ def fit_kmeans(df: DataFrame, k: int, features: str = "features", seed: int = 42
     head = rows.orderBy(F.xxhash64("features"), "features").limit(SEED_ROWS).toPandas()
     if not len(head):
         raise ValueError("there are no rows to cluster")
-    sample = np.stack(head["features"].to_numpy()).astype(np.float64)
-    # Distances are taken from a middle point: large offsets would cost digits.
-    middle = sample.mean(0)
-    sample = sample - middle
+    centers, middle = first_centers(np.stack(head["features"].to_numpy()).astype(np.float64), k, n_init, seed)
     scanner = Scanner(pack(rows))
-    rng = np.random.default_rng(seed)
-    centers = np.stack([_spread_centers(sample, k, rng) for _ in range(n_init)])
     sizes, costs = np.zeros((n_init, k)), np.full(n_init, np.inf)
     active, scans = np.arange(n_init), 0
     while len(active):
-        now, count = centers[active], len(active)
-
-        def partial(x: np.ndarray, now: np.ndarray = now, count: int = count) -> np.ndarray:
-            out = np.zeros((count * k, x.shape[1] + 2))
-            step = max(1, DISTANCES // k)
-            for at in range(0, len(x), step):
-                some = x[at: at + step] - middle
-                rows_ = np.arange(len(some))
-                for s in range(count):
-                    square = _squares(some, now[s])
-                    nearest = square.argmin(1)
-                    here = np.zeros((len(some), k))
-                    here[rows_, nearest] = 1.0
-                    mine = out[s * k: (s + 1) * k]
-                    mine[:, :-2] += here.T @ some
-                    mine[:, -2] += here.sum(0)
-                    mine[:, -1] += here.T @ square[rows_, nearest]
-            return out
-
-        sums = scanner.sum(partial).reshape(count, k, -1)
+        now = centers[active]
+        found = scanner.sum(lambda x, now=now: sums(x - middle, now))
         scans += 1
-        sizes[active], costs[active] = sums[..., -2], sums[..., -1].sum(1)
-        full = sums[..., -2:-1] > 0
-        moved = np.where(full, sums[..., :-2] / np.maximum(sums[..., -2:-1], 1.0), now)
-        still = np.sqrt(((moved - now) ** 2).sum(2)).max(1) <= tol
+        new, still = moved(found, now, tol)
+        found = found.reshape(len(active), k, -1)
+        sizes[active], costs[active] = found[..., -2], found[..., -1].sum(1)
         # A start that stands still keeps the centres whose cost was just measured.
-        centers[active] = np.where(still[:, None, None], now, moved)
+        centers[active] = np.where(still[:, None, None], now, new)
         active = active[~still] if scans < max_iter else active[:0]
     best = int(costs.argmin())
     return KMeansFit(centers[best] + middle, sizes[best], float(costs[best]), tuple(costs.tolist()), scans)
@@ -122,7 +76,7 @@ def kmeans(df: DataFrame, k: int | None, features: str = "features", row_id: str
         centers = shared.value
         for batch in batches:
             x = np.stack(batch.to_numpy()).astype(np.float64) if len(batch) else np.zeros((0, centers.shape[1]))
-            yield pd.Series(_squares(x - centers.mean(0), centers - centers.mean(0)).argmin(1).astype(np.int32))
+            yield pd.Series(lloyd_nearest(x, centers).astype(np.int32))
 
     return df.withColumn("cluster", nearest(F.col(features).cast("array<double>")))
 

@@ -167,3 +167,16 @@ def test_kmeans_of_odd_tables(spark):
     assert same_partition(labels_of(kmeans(far, 2)), np.array([0, 0, 1, 1]))
     with pytest.raises(ValueError):
         fit_kmeans(same.limit(0), 2)
+
+
+def test_groups_are_labelled_alike_on_both_sides_of_the_limit(spark, blobs, monkeypatch):
+    from tablegauge.operators.clustering import groups
+
+    rows = frame(spark, blobs[:120]).withColumn("bag_id", F.lit(1)).withColumn("label", F.lit(0)).withColumnRenamed("features", "x")
+    rows = rows.withColumn("features", F.lit("a name that clashes"))
+    small = cluster_groups(rows, ["kmeans", "hierarchical"], 4, features="x").orderBy("row_id").toPandas()
+    monkeypatch.setattr(groups, "MAX_GROUP_ROWS", 50)
+    large = cluster_groups(rows, ["kmeans", "hierarchical"], 4, features="x").orderBy("row_id").toPandas()
+    assert (small["kmeans"] == large["kmeans"]).all() and set(large["features"]) == {"a name that clashes"}
+    assert same_partition(small["hierarchical"].to_numpy(), large["hierarchical"].to_numpy())
+    assert np.allclose(np.stack(small["x"]), np.stack(large["x"]))
