@@ -59,6 +59,12 @@ def scratch_path(spark: SparkSession, name: str = "table") -> str:
     return f"{root}/{name}-{uuid.uuid4().hex}"
 
 
+def path_exists(spark: SparkSession, path: str) -> bool:
+    """Is there a file or folder at ``path``, in whatever store it names?"""
+    system, path = _file_system(spark, path)
+    return system.exists(path)
+
+
 def drop_scratch(spark: SparkSession) -> None:
     """Delete all intermediate tables of this application; results that still read them must be written before."""
     system, path = _file_system(spark, _scratch_root(spark))
