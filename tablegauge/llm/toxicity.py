@@ -20,10 +20,12 @@ from dataclasses import dataclass, field
 
 import numpy as np
 import pandas as pd
+from pyspark import Broadcast
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tablegauge.llm.common import held_out, id_and_text
+from tablegauge.session import materialize
 
 #: Symbols of the language model: 0 ends a word, 1-26 a-z, 27-31 other letters by code point.
 ALPHABET = 32
@@ -35,6 +37,8 @@ READINGS = {"0": "o", "1": "il", "2": "z", "3": "e", "4": "a", "5": "s", "6": "g
 READ_COST, DROP_SIGN_COST, DROP_REPEAT_COST = 1.0, 1.0, 0.5
 #: Rows used to learn, and the least evidence a feature needs.
 SAMPLE_ROWS, ACCEPT, SURE, STEMS = 20_000, 0.7, 0.9, (4, 5, 6, 7)
+#: Features a task counts before it sends them on.
+COUNTED_FEATURES = 300_000
 #: Scores kept per Python worker before the memory is emptied.
 CACHE_WORDS = 200_000
 THRESHOLD = 0.7
@@ -237,15 +241,29 @@ class ToxicityModel:
         return tuple({f for w in words for f in features(w) if f in self.weights})
 
 
-def distinct_rows(rows: list[set[str]]) -> list[set[str]]:
-    """One word set of each group of copies: rows that share 3 of 4 smallest hashes are copies."""
+@dataclass(frozen=True)
+class ToxicRow:
+    """What learning needs of a toxic row: a place in the order of rows, marks of its words, and
+    those of its features that can be learned at all."""
+
+    place: str
+    marks: tuple[int, ...]
+    features: frozenset[str]
+
+
+def marks_of(words: set[str]) -> list[int]:
+    """Four smallest hashes of the words."""
+    return [min((zlib.crc32(w.encode(), seed) for w in words), default=0) for seed in (1, 77, 4099, 65537)]
+
+
+def distinct_rows(rows: list[ToxicRow]) -> list[frozenset[str]]:
+    """The features of one row of each group of copies: rows that share 3 of 4 smallest hashes are copies."""
     seen: set[tuple] = set()
     kept = []
-    for words in rows:
-        least = [min((zlib.crc32(w.encode(), seed) for w in words), default=0) for seed in (1, 77, 4099, 65537)]
-        marks = {(skip, *least[:skip], *least[skip + 1:]) for skip in range(4)}
+    for row in sorted(rows, key=lambda r: (r.place, r.marks)):
+        marks = {(skip, *row.marks[:skip], *row.marks[skip + 1:]) for skip in range(4)}
         if not marks & seen:
-            kept.append(words)
+            kept.append(row.features)
         seen |= marks
     return kept
 
@@ -268,8 +286,8 @@ def _specific(weights: dict[str, float], where: dict[str, set[int]]) -> dict[str
             if f.endswith(" ") or f"{f} " in weights or not where[f] <= longer.get(f, set())}
 
 
-def cover(toxic: list[set[str]], clean: Counter, n_clean: int) -> tuple[dict[str, float], float]:
-    """Features by sequential covering: ``(feature -> chance of toxic, rest)``.
+def cover(toxic: list[frozenset[str]], clean: Counter, n_clean: int) -> tuple[dict[str, float], float]:
+    """Features by sequential covering: ``(feature -> chance of toxic, rest)``; ``toxic`` are features by row.
 
     First come the features that are sure on all rows, by cautious precision ``t / (t + c + 2)``.
     Then the best feature for the rows still unexplained is taken, these are set aside, and so on
@@ -277,8 +295,8 @@ def cover(toxic: list[set[str]], clean: Counter, n_clean: int) -> tuple[dict[str
     explained one gathers little evidence.
     """
     where: dict[str, set[int]] = {}
-    for i, words in enumerate(toxic):
-        for f in {f for w in words for f in features(w)}:
+    for i, own in enumerate(toxic):
+        for f in own:
             where.setdefault(f, set()).add(i)
     value = lambda f: len(where[f]) / (len(where[f]) + clean.get(f, 0) + 2)
     weights = _specific({f: value(f) for f in where if value(f) >= SURE}, where)
@@ -301,6 +319,10 @@ def cover(toxic: list[set[str]], clean: Counter, n_clean: int) -> tuple[dict[str
     return weights, min(0.5, (len(left) + 0.5) / (len(left) + n_clean + 1))
 
 
+def _counts(counts: Counter) -> pd.DataFrame:
+    return pd.DataFrame({"feature": list(counts), "n": list(counts.values())}).astype({"feature": "object", "n": "int64"})
+
+
 def train(docs: DataFrame, labels: DataFrame, sample_rows: int = SAMPLE_ROWS) -> ToxicityModel:
     """Fit on at most ``sample_rows`` labelled rows outside the held-out third.
 
@@ -314,32 +336,42 @@ def train(docs: DataFrame, labels: DataFrame, sample_rows: int = SAMPLE_ROWS) ->
               .where(F.col("toxic").isNotNull() & F.col("doc_id").isNotNull() & ~held_out("doc_id"))
               .dropDuplicates(["doc_id"]).orderBy(F.xxhash64("doc_id"), "doc_id").limit(sample_rows))
     # The sample is bounded by its parameter, so it may be sent to the documents.
-    rows = id_and_text(docs).join(F.broadcast(chosen), "doc_id").select("toxic", "text")
-
-    def words(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        memory: dict[str, list[str]] = {}
-        for batch in batches:
-            yield pd.DataFrame({"words": [sorted(restored_words(t, shared.value, memory)) for t in batch["text"]]})
-
-    toxic = [set(r["words"]) for r in rows.where("toxic = 1").mapInPandas(words, "words array<string>").toLocalIterator()]
-    toxic = distinct_rows(sorted(toxic, key=sorted))
-    times = Counter(f for ws in toxic for f in {f for w in ws for f in features(w)})
-    # A feature needs t / (t + 2) >= ACCEPT toxic rows even without a clean one.
-    able = spark.sparkContext.broadcast({f for f, t in times.items() if t / (t + 2) >= ACCEPT})
-
-    def clean_counts(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    rows = materialize(id_and_text(docs).join(F.broadcast(chosen), "doc_id").select("toxic", "text"))
+    bad, good = rows.where("toxic = 1"), rows.where("toxic = 0")
+
+    def counted(known: Broadcast | None) -> Callable[[Iterator[pd.DataFrame]], Iterator[pd.DataFrame]]:
+        """Rows by feature, of all features or of the known ones; '' counts the rows themselves."""
+        def count(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+            memory: dict[str, list[str]] = {}
+            counts: Counter = Counter()
+            for batch in batches:
+                for text in batch["text"]:
+                    found = {f for w in restored_words(text, shared.value, memory) for f in features(w)}
+                    counts.update(found if known is None else found & known.value)
+                    counts[""] += 1
+                    if len(counts) > COUNTED_FEATURES:
+                        yield _counts(counts)
+                        counts = Counter()
+            yield _counts(counts)
+        return count
+
+    schema = "feature string, n bigint"
+    by_feature = lambda frame, known: frame.mapInPandas(counted(known), schema).groupBy("feature").agg(F.sum("n").alias("n"))
+    # A feature needs t / (t + 2) >= ACCEPT toxic rows even without a clean one: the rest stays away from the driver.
+    often = by_feature(bad, None).where((F.col("feature") != "") & (F.col("n") >= ACCEPT * (F.col("n") + 2)))
+    able = spark.sparkContext.broadcast(frozenset(r["feature"] for r in often.toLocalIterator()))
+
+    def described(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         memory: dict[str, list[str]] = {}
-        counts: Counter = Counter()
         for batch in batches:
-            for text in batch["text"]:
-                counts[""] += 1
-                counts.update({f for w in restored_words(text, shared.value, memory) for f in features(w)
-                               if f in able.value})
-        yield pd.DataFrame({"feature": list(counts), "n": list(counts.values())},
-                           ).astype({"feature": "object", "n": "int64"})
-
-    clean = {r["feature"]: r["n"] for r in rows.where("toxic = 0").mapInPandas(clean_counts, "feature string, n bigint")
-             .groupBy("feature").agg(F.sum("n").alias("n")).toLocalIterator()}
+            words = [restored_words(t, shared.value, memory) for t in batch["text"]]
+            yield pd.DataFrame({"place": ["\n".join(heapq.nsmallest(50, ws)) for ws in words], "marks": [marks_of(ws) for ws in words],
+                                "features": [sorted({f for w in ws for f in features(w)} & able.value) for ws in words]})
+
+    told = bad.mapInPandas(described, "place string, marks array<bigint>, features array<string>")
+    names = {f: f for f in able.value}
+    toxic = distinct_rows([ToxicRow(r["place"], tuple(r["marks"]), frozenset(names[f] for f in r["features"])) for r in told.toLocalIterator()])
+    clean = {r["feature"]: r["n"] for r in by_feature(good, able).toLocalIterator()}
     weights, base = cover(toxic, Counter(clean), clean.get("", 0))
     return ToxicityModel(language, weights, base)
 
