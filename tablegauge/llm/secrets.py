@@ -11,17 +11,18 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from tablegauge.llm.common import fresh, id_and_text, pieces
-from tablegauge.session import broadcast_if_small, materialize, scratch_path
+from tablegauge.session import broadcast_if_small, materialize, path_exists, scratch_path
 
 #: Raise it with every change of the rules: blobs scanned under another version are scanned again.
-RULE_VERSION = "1"
+RULE_VERSION = "2"
 #: Kinds in the order in which spans that start together are listed.
 KINDS = ("assign", "access", "hex", "pem", "jwt")
 ASSIGN = re.compile(r"""([Pp][Aa][Ss][Ss][Ww][Oo][Rr][Dd]|[Pp][Aa][Ss][Ss][Ww][Dd]|[Ss][Ee][Cc][Rr][Ee][Tt]|"""
                     r"""[Tt][Oo][Kk][Ee][Nn]|[Aa][Pp][Ii]_?[Kk][Ee][Yy])["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""")
 ACCESS = re.compile(r"AKIA[A-Z0-9]+")
 HEX = re.compile(r"[0-9a-f]{24,}")
-PEM = re.compile(r"-----BEGIN (?:[A-Z0-9]+ )*PRIVATE KEY-----[A-Za-z0-9+/=\s]*-----END (?:[A-Z0-9]+ )*PRIVATE KEY-----")
+PEM = re.compile(r"-----BEGIN (?:[A-Z0-9]+ )*PRIVATE KEY-----\s*(?:[A-Za-z0-9-]+:[^\r\n]*\r?\n)*"
+                 r"[A-Za-z0-9+/=\s]*-----END (?:[A-Z0-9]+ )*PRIVATE KEY-----")
 JWT = re.compile(r"eyJ[A-Za-z0-9_-]{10,}\.eyJ[A-Za-z0-9_-]{10,}\.[A-Za-z0-9_-]{10,}")
 
 FINDINGS = T.ArrayType(T.StructType([T.StructField("kind", T.StringType()), T.StructField("start", T.IntegerType()),
@@ -56,8 +57,22 @@ def _scan(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
 
 
 def read_ledger(spark: SparkSession, path: str | None) -> DataFrame:
-    """The findings of earlier runs; no path is a ledger without entries."""
-    return spark.read.schema(LEDGER).parquet(path) if path else spark.createDataFrame([], LEDGER)
+    """The findings of earlier runs; no path, or one to which nothing was appended, is an empty ledger."""
+    if path is None or not path_exists(spark, path):
+        return spark.createDataFrame([], LEDGER)
+    return spark.read.schema(f"{LEDGER}, bucket string").parquet(path).drop("bucket")
+
+
+def append_entries(entries: DataFrame, path: str) -> None:
+    """Add ``entries`` to the ledger at ``path``; those that it holds already are left out.
+
+    Folders by rule version and by the first digits of the blob: a run reads its own version only,
+    and a step that is repeated after a loss adds nothing twice.
+    """
+    known = read_ledger(entries.sparkSession, path).select("blob", "rule_version")
+    fresh_ = entries.dropDuplicates(["blob", "rule_version"]).join(known, ["blob", "rule_version"], "left_anti")
+    (fresh_.withColumn("bucket", F.substring("blob", 1, 1)).repartition("rule_version", "bucket")
+     .write.mode("append").partitionBy("rule_version", "bucket").parquet(path))
 
 
 def scan_versions(versions: DataFrame, ledger: DataFrame, id_column: str = "doc_id",
