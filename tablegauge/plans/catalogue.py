@@ -739,19 +739,23 @@ _TRAINED: dict[tuple[str, str], tuple] = {}
 
 
 def _meta(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, scoring.MetaModels]:
-    """Feature vectors and models of two tasks per table, trained once per session."""
+    """Models of two tasks per table, trained once per session, and the feature vectors of a third
+    task that they have never seen."""
     key = (spark.sparkContext.applicationId, sf_dir)
     if key not in _TRAINED:
+        def vectors(segment: str) -> tuple[DataFrame, DataFrame]:
+            rows = materialize(fx.customers(spark, sf_dir, segment))
+            return rows, metafeatures(sampling.sample_table(rows)).withColumn("task", F.lit(segment))
+
         features, truths = None, None
         for segment in ("BUILDING", "MACHINERY"):
-            rows = materialize(fx.customers(spark, sf_dir, segment))
-            vectors = metafeatures(sampling.sample_table(rows)).withColumn("task", F.lit(segment))
+            rows, own = vectors(segment)
             options = {m: {"max_tries": 1, **o} for m, o in ONE_POINT.items()}
             truth = true_f1.true_f1_scores(rows, options=options).withColumn("task", F.lit(segment))
-            features = vectors if features is None else features.unionByName(vectors)
+            features = own if features is None else features.unionByName(own)
             truths = truth if truths is None else truths.unionByName(truth)
-        features = materialize(features)
-        _TRAINED[key] = (features, scoring.train_meta_models(scoring.meta_table(features, truths), trees=10, depth=4))
+        models = scoring.train_meta_models(scoring.meta_table(materialize(features), truths), trees=10, depth=4)
+        _TRAINED[key] = (materialize(vectors("HOUSEHOLD")[1]), models)
     return _TRAINED[key]
 
 
