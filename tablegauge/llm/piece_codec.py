@@ -62,7 +62,9 @@ class PieceCodec:
         # Lines end words if no piece holds a line feed.
         self.cut = re.compile(f"{SPACE}*[^{SPACE}\n]+|{SPACE}+|\n" if "\n" not in known else f"{SPACE}*[^{SPACE}]+|{SPACE}+")
         self.pairs: dict[tuple[str, str], bool] = {}
+        # Words met lately, and those met before them.
         self.words: dict[str, bytes] = {}
+        self.older: dict[str, bytes] = {}
         # Decoding: text of every id; bytes are joined before they are read as UTF-8.
         self.plain = [b"" if p.type == CONTROL else bytes([int(p.piece[3:5], 16)]) if p.type == BYTE else
                       spec.unk_surface.encode() if p.type == UNKNOWN else p.piece.replace(SPACE, " ").encode()
@@ -107,21 +109,27 @@ class PieceCodec:
 
     def last_tokens(self, text: str) -> list[str]:
         """The last token of every prefix."""
-        ending: dict[int, list[str]] = {}
+        last, known, end = [""] * (len(text) + 1), self.pairs, 0
         for at, piece in self.automaton.iter(text):
-            ending.setdefault(at, []).append(piece)
-        last = [""]
-        for at, ch in enumerate(text):
-            # A character outside the vocabulary stands alone and merges with nothing.
-            options = ending.pop(at, [ch])
-            for piece in options:
-                if len(options) == 1 or self.compatible(last[at + 1 - len(piece)], piece):
-                    last.append(piece)
-                    break
-            else:
-                raise AssertionError("no piece can end a prefix")
+            if at < end:
+                continue
+            if end < at:
+                self._alone(text, last, end, at)
+            key = (last[at + 1 - len(piece)], piece)
+            fits = known.get(key)
+            if fits or (fits is None and self.compatible(*key)):
+                end = at + 1
+                last[end] = piece
+        self._alone(text, last, end, len(text))
         return last
 
+    def _alone(self, text: str, last: list[str], start: int, stop: int) -> None:
+        """Characters outside the vocabulary stand alone and merge with nothing."""
+        for at in range(start, stop):
+            if text[at] in self.ids:
+                raise AssertionError("no piece can end a prefix")
+            last[at + 1] = text[at]
+
     def word(self, text: str) -> bytes:
         """Little-endian unsigned 32-bit ids of a word."""
         last, at, found = self.last_tokens(text), len(text), []
@@ -146,12 +154,14 @@ class PieceCodec:
         try:
             return b"".join([head, *[memory[w] for w in words], tail])
         except KeyError:
-            if len(memory) >= CACHE_WORDS:
-                memory.clear()
-            for w in words:
-                if w not in memory:
-                    memory[w] = self.word(w)
-            return b"".join([head, *[memory[w] for w in words], tail])
+            pass
+        if len(memory) >= CACHE_WORDS:
+            self.older, self.words = memory, {}
+            memory = self.words
+        for w in words:
+            if w not in memory:
+                memory[w] = self.older.get(w) or self.word(w)
+        return b"".join([head, *[memory[w] for w in words], tail])
 
     # --- decoding ---
 
