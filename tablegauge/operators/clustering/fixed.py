@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tablegauge.functions.vectors import euclidean_distance
-from tablegauge.operators.blocks import BLOCK_ROWS, Block, distances, scan_cross
+from tablegauge.operators.blocks import BLOCK_ROWS, Block, distances, scan_cross, tiles
 
 #: Most centroid values that are laid out as literals in the plan.
 LITERAL_CELLS = 100_000
@@ -24,11 +24,16 @@ def class_centroids(df: DataFrame, label: str, features: str = "features",
 
 
 def _nearest_kernel(left: Block, right: Block, same: bool) -> pd.DataFrame:
-    d = distances(left.x, right.x)
-    order = np.lexsort((right.ids,))
-    best = order[np.argmin(d[:, order], axis=1)]
-    return pd.DataFrame({"row_id": left.ids, "cluster": right.ids[best],
-                         "distance": d[np.arange(len(best)), best]})
+    n = len(left.ids)
+    least, cluster = np.full(n, np.inf), np.full(n, np.iinfo(np.int64).max)
+    for a, b, _ in tiles(left, right, same):
+        d, ids = distances(left.x[a], right.x[b]), right.ids[b]
+        order = np.argsort(ids)
+        at = order[np.argmin(d[:, order], axis=1)]
+        near = d[np.arange(len(at)), at]
+        closer = (near < least[a]) | ((near == least[a]) & (ids[at] < cluster[a]))
+        least[a], cluster[a] = np.where(closer, near, least[a]), np.where(closer, ids[at], cluster[a])
+    return pd.DataFrame({"row_id": left.ids, "cluster": cluster, "distance": least})
 
 
 def assign_nearest(df: DataFrame, centroids: DataFrame, features: str = "features",
