@@ -83,3 +83,19 @@ def test_hopeless_classes(points):
 
 def test_depth_shares():
     assert true_f1._depths(12) == [12, 9, 6, 3] and true_f1._depths(1) == [1] and true_f1._depths(0) == [1]
+
+
+def test_families_share_their_splits(spark, monkeypatch):
+    """Every attempt's split is made once, however many families ask for it."""
+    from tablegauge.plans import true_f1
+
+    made = []
+    split_rows = true_f1.split_rows
+    monkeypatch.setattr(true_f1, "split_rows", lambda df, seed, *rest: made.append(seed) or split_rows(df, seed, *rest))
+    rows = spark.createDataFrame([(i, [float(i % 2 * 10 + i % 7), float(i % 5)], i % 2) for i in range(120)],
+                                 "row_id bigint, features array<double>, label int")
+    found = true_f1.true_f1_scores(rows, ["decision tree", "logistic regression", "k-nearest neighbor"],
+                                   options={"decision tree": {"depths": [2]}, "logistic regression": {"cs": [1.0]}})
+    assert [tuple(r) for r in found.collect()] == [
+        ("decision tree", 1.0), ("logistic regression", 1.0), ("k-nearest neighbor", 1.0)]
+    assert made == [42]
