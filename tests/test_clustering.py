@@ -40,6 +40,14 @@ def test_kernels_find_separated_blobs(name, blobs):
     assert same_partition(found[found >= 0], truth[found >= 0]) and (found >= 0).mean() > 0.9
 
 
+@pytest.mark.parametrize("name", list(ALGORITHMS))
+def test_kernels_share_the_distances_of_a_group(name, blobs):
+    square = distances(blobs, blobs, squared=True)
+    kept = square.copy()
+    assert (ALGORITHMS[name](blobs, 3, 1, square) == ALGORITHMS[name](blobs, 3, 1)).all()
+    assert (square == kept).all()
+
+
 def test_ward_merges_by_least_cost():
     x = np.array([[0.0], [1.0], [10.0], [11.5], [30.0]])
     assert same_partition(ward_labels(x, 3), np.array([0, 0, 1, 1, 2]))
@@ -58,6 +66,14 @@ def test_whole_table_ward_equals_the_kernel(spark, blobs):
         assert same_partition(got, ward_labels(blobs, k))
 
 
+def test_whole_table_ward_of_few_rows_needs_no_rounds(spark, blobs, monkeypatch):
+    def no_round(*_):
+        raise AssertionError("a round was run")
+
+    monkeypatch.setattr("tablegauge.operators.clustering.ward._merge_round", no_round)
+    assert same_partition(labels_of(ward(frame(spark, blobs), 4)), ward_labels(blobs, 4))
+
+
 def test_whole_table_ward_with_a_hot_point(spark, blobs):
     x = np.vstack([blobs, np.repeat(blobs[:1], 60, axis=0)])  # a third of all rows are one point
     got = labels_of(ward(frame(spark, x), 3, finish=20, block_rows=64))
