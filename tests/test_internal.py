@@ -5,6 +5,8 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
+from tablegauge.operators import pairs
+from tablegauge.operators.blocks import scan_pairs
 from tablegauge.operators.internal import INTERNAL_INDICES, internal_indices
 from tablegauge.operators.moments import scatter_matrices
 
@@ -86,6 +88,22 @@ def test_c_index_with_tied_distances_over_blocks(spark):
     assert got["C"] == pytest.approx(expected["C"]) and got["Dunn"] == pytest.approx(expected["Dunn"])
 
 
+def test_few_boundary_distances_need_one_more_scan(spark, monkeypatch):
+    x = np.random.default_rng(3).normal(size=(90, 3))
+    labels = np.arange(90) % 4
+    scans = []
+
+    def counted(*args, **kwargs):
+        scans.append(1)
+        return scan_pairs(*args, **kwargs)
+
+    monkeypatch.setattr(pairs, "scan_pairs", counted)
+    monkeypatch.setattr(pairs, "BUCKETS", 4)
+    df = frame(spark, x, labels)
+    found = pairs.pair_indices(df, block_rows=20, names=["C"]).first()["C"]
+    assert len(scans) == 2 and found == pytest.approx(brute(x, labels)["C"], rel=1e-9)
+
+
 def test_groups_of_unequal_size(spark, points):
     rows = frame(spark, *points).withColumn("g", F.lit(1)).unionByName(
         frame(spark, points[0][::5], points[1][::5]).withColumn("g", F.lit(2)))
