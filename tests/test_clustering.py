@@ -74,6 +74,12 @@ def test_whole_table_ward_of_few_rows_needs_no_rounds(spark, blobs, monkeypatch)
     assert same_partition(labels_of(ward(frame(spark, blobs), 4)), ward_labels(blobs, 4))
 
 
+def test_whole_table_ward_with_repeated_ids(spark, blobs):
+    rows = frame(spark, blobs)
+    got = labels_of(ward(rows.unionByName(rows), 4))
+    assert (got[::2] == got[1::2]).all() and same_partition(got[::2], ward_labels(blobs, 4))
+
+
 def test_whole_table_ward_with_a_hot_point(spark, blobs):
     x = np.vstack([blobs, np.repeat(blobs[:1], 60, axis=0)])  # a third of all rows are one point
     got = labels_of(ward(frame(spark, x), 3, finish=20, block_rows=64))
