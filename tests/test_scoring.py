@@ -1,10 +1,12 @@
+import threading
+
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
 from tablegauge.operators import metafeatures as mf
 from tablegauge.operators import verdicts
-from tablegauge.plans import scoring
+from tablegauge.plans import scoring, true_f1
 from tablegauge.plans.assess import assess, check_parameters
 
 
@@ -44,6 +46,30 @@ def test_meta_models(trained):
         scoring.predict_hardness(table.drop(mf.FEATURE_NAMES[0]), models)
 
 
+def test_meta_models_are_fitted_side_by_side(trained, monkeypatch):
+    table, _ = trained
+    meet, fit = threading.Barrier(len(verdicts.MODELS)), scoring.RandomForestRegressor.fit
+
+    def waiting(self, rows):
+        meet.wait(60)  # breaks if one fit ends before another begins
+        return fit(self, rows)
+
+    monkeypatch.setattr(scoring.RandomForestRegressor, "fit", waiting)
+    truth = table.sparkSession.createDataFrame(
+        [("easy", m, 0.9) for m in verdicts.MODELS] + [("hard", "random forest", 0.4)], "task string, model string, true_f1 double")
+    models = scoring.train_meta_models(scoring.meta_table(table, truth), trees=2, depth=2)
+    assert list(models.regressors) == list(verdicts.MODELS) and models.classifier is not None
+    found = scoring.estimate_f1(table.where("task = 'easy'"), models).groupBy("model").agg(F.avg("est_f1").alias("f")).collect()
+    assert len(found) == 6 and all(abs(r["f"] - 0.9) < 0.15 for r in found)
+
+
+def test_families_are_searched_side_by_side(spark, monkeypatch):
+    meet = threading.Barrier(len(true_f1.FAMILIES))
+    monkeypatch.setattr(true_f1, "FAMILIES", {m: lambda rows, seed, splits: float(meet.wait(60) >= 0) for m in true_f1.FAMILIES})
+    rows = spark.createDataFrame([(1, [0.0], 0)], "row_id bigint, features array<double>, label int")
+    assert true_f1.true_f1_scores(rows).where("true_f1 = 1").count() == 6
+
+
 def blobs(spark, n):
     rng = np.random.default_rng(6)
     rows = [(i, [float(v) for v in rng.normal(3 * (i % 2), 1.0, 2)], i % 2) for i in range(n)]
