@@ -5,7 +5,8 @@ from pyspark.sql import functions as F
 from tablegauge.operators.clustering import assign_nearest, cluster_groups, kmeans, long_clusters
 from tablegauge.operators.clustering import fixed
 from tablegauge.operators.clustering.groups import (
-    ALGORITHMS, distances, hdbscan_labels, reachability_tree, spectral_labels, ward_labels)
+    ALGORITHMS, distances, forest_labels, hdbscan_labels, reachability_tree, spectral_labels, ward_labels)
+from tablegauge.operators.clustering import hdbscan as hdbscan_module
 from tablegauge.operators.clustering.hdbscan import core_distances, hdbscan, spanning_tree
 from tablegauge.operators.clustering.links import resolve_roots, tree_components
 from tablegauge.operators.clustering.spectral import spectral
@@ -202,3 +203,22 @@ def test_groups_are_labelled_alike_on_both_sides_of_the_limit(spark, blobs, monk
     assert (small["kmeans"] == large["kmeans"]).all() and set(large["features"]) == {"a name that clashes"}
     assert same_partition(small["hierarchical"].to_numpy(), large["hierarchical"].to_numpy())
     assert np.allclose(np.stack(small["x"]), np.stack(large["x"]))
+
+
+def test_few_rows_look_for_edges_of_the_tree(spark, monkeypatch):
+    """Ties, copies and clumps larger than the lists of nearest rows; after the first rounds few rows meet the table again."""
+    rng = np.random.default_rng(3)
+    grid = np.array([(i, j) for i in range(9) for j in range(9)], float)
+    x = np.vstack([grid, np.zeros((30, 2)), rng.normal(40, 0.1, (60, 2)), rng.uniform(-60, 90, (60, 2))])
+    asked, look = [], hdbscan_module._least_outgoing
+
+    def counted(points, rows, asked_, extent, block_rows):
+        asked.append(extent[0])
+        return look(points, rows, asked_, extent, block_rows)
+
+    monkeypatch.setattr(hdbscan_module, "_least_outgoing", counted)
+    tree = spanning_tree(core_distances(frame(spark, x), 5, 64), 64).toPandas()
+    expected = reachability_tree(x, 5)
+    assert np.allclose(np.sort(tree["w"]), expected[:, 0], rtol=0, atol=1e-12)
+    assert sorted(forest_labels(len(x), tree[["a", "b"]].to_numpy())) == [0] * len(x)
+    assert sum(asked) < 2 * len(x)
