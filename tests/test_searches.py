@@ -182,3 +182,21 @@ def test_default_grids(rings):
     # A line cannot part rings, so that both classes may not be learned.
     value = true_f1.logistic_regression_f1(rings, max_tries=1)
     assert value is None or value < 0.9
+
+
+def test_kernel_features_are_made_in_the_scans(rows, monkeypatch):
+    """Narrow rows are packed as they are; models and counts are those of packed kernel features."""
+    x, frame = rows
+    kernel, packed = RandomFourier(5, 32, 1, 0.1), []
+    early = pack_labelled(frame, "weight", kernel)
+    late = pack_labelled(frame, "weight")
+    a = fit_many(early, [0.1, 1.0], 5, hinge, "l2", 15)
+    b = fit_many(late, [0.1, 1.0], 5, hinge, "l2", 15, features=kernel)
+    assert np.array_equal(a.coefficients, b.coefficients) and np.array_equal(a.intercepts, b.intercepts)
+    key = ["cost", "fold", "label", "prediction"]
+    assert fold_counts(early, a).orderBy(*key).collect() == fold_counts(late, b, kernel).orderBy(*key).collect()
+    # The search itself packs five columns, not 32.
+    pack = true_f1.pack_labelled
+    monkeypatch.setattr(true_f1, "pack_labelled", lambda *args: packed.append(pack(*args)) or packed[-1])
+    true_f1.support_vector_f1(frame, cs=[1.0], n_components=32, max_scans=10, splits=None)
+    assert {r["width"] for df in packed for r in df.select("width").collect()} == {5}
