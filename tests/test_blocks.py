@@ -72,3 +72,14 @@ def test_wide_distances_for_sums():
     x = np.repeat(np.random.default_rng(3).normal(size=(50, 64)), 2, axis=0) + 1e3
     assert np.allclose(blocks.sum_distances(x, x), blocks.distances(x, x), rtol=1e-10, atol=0)
     assert np.allclose(pairs._steady(blocks.sum_distances(x, x)), blocks.distances(x, x), rtol=1e-10, atol=0)
+
+
+def test_small_results_go_back_together():
+    inner = blocks._gathered
+    frames = [pd.DataFrame({"id": [2**60 + i], "v": [None]}) for i in range(2500)]
+    frames.insert(1200, pd.DataFrame({"id": [np.nan], "v": [None]}))
+    sent = list(inner(iter(frames)))
+    assert len(sent) == 5 and sum(map(len, sent)) == 2501
+    whole = [i for frame in sent for i in frame["id"].tolist()]
+    assert [i for i in whole if i == i] == [2**60 + i for i in range(2500)]
+    assert list(inner(iter([]))) == []
