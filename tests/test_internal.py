@@ -162,3 +162,33 @@ def test_wide_scatter_equals_narrow(spark, points, monkeypatch):
 def test_unknown_index(spark, points):
     with pytest.raises(KeyError):
         internal_indices(frame(spark, *points), names=["Nope"])
+
+
+def test_row_sums_come_back_once_per_row_of_a_block(spark):
+    rng = np.random.default_rng(21)
+    x, labels = rng.normal(size=(300, 20)), rng.integers(0, 9, 300)
+    rows = frame(spark, x, labels).withColumn("cluster", F.when(F.col("row_id") % 7 > 0, F.col("cluster").cast("string")))
+    clusters = pairs._few_clusters(rows)
+    assert clusters == sorted({*map(str, range(9)), "None"})
+    kernel = pairs._scan_kernel(["Silhouette"], clusters)
+    sent = scan_pairs(rows, kernel, pairs.PACKED, extra=["cluster"], block_rows=75).where("kind = 'row'").count()
+    assert sent <= 300 * 5
+    wide = pairs.pair_indices(rows, block_rows=75).first()
+    pairs_few, pairs.FEW_CLUSTERS = pairs.FEW_CLUSTERS, 0
+    try:
+        long = pairs.pair_indices(rows, block_rows=75).first()
+    finally:
+        pairs.FEW_CLUSTERS = pairs_few
+    assert list(wide) == pytest.approx(list(long), rel=1e-10)
+
+
+def test_scaled_squares(spark):
+    from tablegauge.operators.blocks import distances, scaled_squares, sum_distances
+    rng = np.random.default_rng(3)
+    x = rng.normal(5, 1, (70, 24))
+    y = np.vstack([rng.normal(5, 1, (60, 24)), x[:5], x[5:9] + 1e-7])
+    exact = distances(x, y)
+    assert np.allclose(sum_distances(x, y), exact, rtol=1e-10, atol=0)
+    assert np.allclose(scaled_squares(x, y, -2.0)[0], -2.0 * exact**2, atol=1e-10)
+    x[0, 0] = np.inf
+    assert np.isinf(sum_distances(x, y)[0]).all() and np.isfinite(sum_distances(x, y)[1:]).all()
