@@ -73,7 +73,8 @@ def with_labels(rows: DataFrame, labels: DataFrame) -> DataFrame:
     found = rows.withColumn("salt", F.pmod(F.hash("digest", "part"), F.lit(SALTS))).withColumn(
         "id", F.coalesce(F.col("doc_id").cast("string"), F.concat(F.lit("none "), F.hex("digest"))))
     salted = salted.withColumn("id", F.col("doc_id").cast("string")).drop("doc_id")
-    return found.join(salted, ["id", "salt"], "left").select(
+    # The optimizer sizes the copies by the small file of labels, so a broadcast is ruled out.
+    return found.hint("merge").join(salted, ["id", "salt"], "left").select(
         *rows.columns, F.coalesce("good", F.lit(False)).alias("good"), F.coalesce("toxic", F.lit(False)).alias("toxic"))
 
 
